@@ -7,6 +7,7 @@ import importlib
 #: Modules with their query functions; a module's own SQL is named OPn_SQL.
 MODULES = {
     "quality_rules": "op1_quality_rules",
+    "secret_scan": "op2_secret_scan",
     "language_id": "op7_language_id",
     "chat_format": "op8_chat_formatting",
     "jaccard_join": "op10_jaccard_join",
