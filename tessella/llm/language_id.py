@@ -216,21 +216,39 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT
 
 
+def _judge(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Label and score of each text."""
+    shown = [t if t and model.labels and LETTER.search(t) else "" for t in texts.to_pylist()]
+    if not model.labels:
+        return [UNKNOWN] * len(shown), np.zeros(len(shown))
+    probs = document_probs(model, shown)
+    best = probs.argmax(1)
+    score = np.clip(probs[np.arange(len(shown)), best], 0, 1)
+    return [model.labels[k] if t else UNKNOWN for k, t in zip(best, shown, strict=True)], score
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row; no shuffle."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t and model.labels and LETTER.search(t) else "" for t in batch.column(1).to_pylist()]
-            probs = document_probs(model, texts) if model.labels else np.zeros((len(texts), 1))
-            best = probs.argmax(1)
-            names = [model.labels[k] if t else UNKNOWN for k, t in zip(best, texts, strict=True)]
-            score = np.clip(probs[np.arange(len(texts)), best], 0, 1) if len(texts) else np.zeros(0)
+            names, score = _judge(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows, unchanged, whose language is known with at least this score; no shuffle."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, score = _judge(model, batch.column("text"))
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(training_sample(docs)))
 

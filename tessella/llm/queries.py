@@ -9,6 +9,7 @@ MODULES = {
     "quality_rules": "op1_quality_rules",
     "secret_scan": "op2_secret_scan",
     "language_id": "op7_language_id",
+    "pfair_mix": "op4_pfair_mix",
     "piece_codec": "op5_piece_codec",
     "chat_format": "op8_chat_formatting",
     "jaccard_join": "op10_jaccard_join",
