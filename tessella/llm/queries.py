@@ -12,6 +12,7 @@ MODULES = {
     "language_id": "op7_language_id",
     "pfair_mix": "op4_pfair_mix",
     "piece_codec": "op5_piece_codec",
+    "html_extract": "op9_html_extraction",
     "chat_format": "op8_chat_formatting",
     "jaccard_join": "op10_jaccard_join",
 }
