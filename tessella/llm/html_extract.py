@@ -3,7 +3,7 @@
 A page becomes a sequence of tags and texts. Every word has the weight of the place where it stands (its block, whether
 a link, an article or a part such as a menu encloses it), every tag a negative weight. One linear scan finds the
 contiguous run with the highest sum; its words of positive weight are the main text. A part that is known to stand beside
-the article (a menu, an advert, reader comments) counts as its own tag alone, and its words are never text, so that an
+the article (a menu, an advert, reader comments) counts nothing, and its words are never text, so that an
 advert inside the article neither ends the run nor gets into it.
 
 The weights are log-odds from labelled pages: of at most ``SAMPLE_PAGES`` pages, those with the least hash, the ones whose
@@ -55,7 +55,7 @@ ASIDE_WORDS = frozenset(
 
 
 def places(page: str | None) -> Iterator[tuple[str, str, str]]:
-    """('tag', name, place of the tag) and ('text', place, text) in page order.
+    """('tag', name, place of the element) and ('text', place, text) in page order.
 
     A place is a string of: x (inside a part beside the article), m (inside an article or main part), a (in a link),
     then the innermost block's name.
@@ -77,14 +77,14 @@ def places(page: str | None) -> Iterator[tuple[str, str, str]]:
             continue
         tag = tag.lower()
         if t["end"]:
+            yield "tag", tag, place()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-            yield "tag", tag, place()
             continue
-        yield "tag", tag, place()
         if tag in VOID or t["attrs"].endswith("/"):
+            yield "tag", tag, place()
             continue
         if tag not in INLINE:  # a block ends an open paragraph
             for i in range(len(stack) - 1, 0, -1):
@@ -98,6 +98,7 @@ def places(page: str | None) -> Iterator[tuple[str, str, str]]:
         named = {w for v in NAMED.findall(t["attrs"]) for w in WORDS.findall("".join(v).lower())} if t["attrs"] else ()
         beside = tag in ASIDE and not (tag == "header" and m) or bool(ASIDE_WORDS.intersection(named)) and tag not in ("body", "html")
         stack.append((tag, x or beside, main, a or tag == "a", block if tag in INLINE else tag))
+        yield "tag", tag, place()
     if at < len(page):
         yield "text", place(), page[at:]
 
