@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "quality_rules": "op1_quality_rules",
     "secret_scan": "op2_secret_scan",
+    "ann_mih": "op3_ann_mih",
     "token_store": "op6_token_store",
     "language_id": "op7_language_id",
     "pfair_mix": "op4_pfair_mix",
