@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import similarity
+from tessella.plans import evaluation, similarity
 
-MODULES = (similarity,)
+MODULES = (similarity, evaluation)
 
 
 def queries() -> dict:
