@@ -148,7 +148,8 @@ def search(items: DataFrame, queries: DataFrame, radius: int, k: int = NEIGHBOUR
     dealt = listed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts_of()).cast("int"))
     # a list is probed if its top bits alone are not too far
     tops = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(t).alias("top"), (F.bit_count(top(p).bitwiseXOR(t)) <= near).alias("probed")) for p in range(PARTS) for t in range(groups)))
-    asked = queries.select("vec_id", "code", "vector", F.explode(F.filter(tops, lambda x: x["probed"])).alias("l")).select("vec_id", "code", "vector", "l.part", "l.top")
+    own = [F.col(c).alias(c) for c in ("vec_id", "code", "vector")]  # new columns, even if queries are some of the items
+    asked = queries.select(*own).select("vec_id", "code", "vector", F.explode(F.filter(tops, lambda x: x["probed"])).alias("l")).select("vec_id", "code", "vector", "l.part", "l.top")
     asked = asked.filter(salts_of() > 0).withColumn("salt", F.explode(F.sequence(F.lit(0), salts_of() - 1)))
     keys = ["part", "top", "salt"]
     found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(lambda a, b: _probe(a, b, radius, k), "query_id long, vec_id long, score double")
