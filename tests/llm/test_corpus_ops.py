@@ -89,6 +89,13 @@ def test_join_of_nothing(spark):
     assert joined(J.jaccard_join(docs(spark, [(5, None, None, None)]))) == {5: (0, 5, 1, 0)}
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    rows = [(1, "a b c d e f g", "en", "x"), (1, "other words stand here now again", "en", "x"), (2, "a b c d e f g", "en", "x"), (3, "other words stand here now again", "en", "x")]
+    df = J.jaccard_join(docs(spark, rows, False))
+    assert df.count() == 4 and {r["component_id"] for r in df.collect() if r["doc_id"] == 1} == {1}
+    assert sorted(r["component_id"] for r in df.collect()) in ([1, 1, 1, 2], [1, 1, 1, 3])
+
+
 def test_filters_lose_no_partner():
     for n in range(1, 300):
         for m in range(n, 400):
