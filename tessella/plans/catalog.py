@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import evaluation, similarity
+from tessella.plans import authorship, evaluation, similarity
 
-MODULES = (similarity, evaluation)
+MODULES = (similarity, evaluation, authorship)
 
 
 def queries() -> dict:
