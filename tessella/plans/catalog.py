@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import authorship, evaluation, similarity
+from tessella.plans import authorship, evaluation, similarity, spans, store, streams
 
-MODULES = (similarity, evaluation, authorship)
+MODULES = (similarity, evaluation, authorship, spans, store, streams)
 
 
 def queries() -> dict:
