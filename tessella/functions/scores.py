@@ -38,7 +38,8 @@ def subtract_baseline(score: Column, baseline: Column) -> Column:
 
 def hard_gate(features: list[Column], structural: list[Column], coverage: Column) -> Column:
     """True where a pair is cleared whatever its score: weak features, weak structure, or little coverage."""
-    top, built = F.greatest(*features), F.greatest(*structural)
+    highest = lambda xs: F.greatest(*xs) if len(xs) > 1 else xs[0]
+    top, built = highest(features), highest(structural)
     return (top < 0.5) | (built < 0.5) | (coverage < 0.15) | ((top >= 0.8) & (coverage < 0.4))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import authorship, evaluation, similarity, spans, store, streams
+from tessella.plans import authorship, evaluation, similarity, spans, store, streams, structure
 
-MODULES = (similarity, evaluation, authorship, spans, store, streams)
+MODULES = (similarity, evaluation, authorship, spans, store, streams, structure)
 
 
 def queries() -> dict:

@@ -54,8 +54,9 @@ def rate_limit(events: DataFrame, limits=LIMITS) -> DataFrame:
     return events.select("key", "ts", "id").groupBy("key").applyInPandas(run, "key long, ts timestamp, id long, accepted boolean")
 
 
-def rate_limit_stream(events: DataFrame, limits=LIMITS) -> DataFrame:
-    """The limiter over a stream: the log of accepted requests is the state of a key, dropped after the longest horizon."""
+def rate_limit_stream(events: DataFrame, limits=LIMITS, late: str = "1 hour") -> DataFrame:
+    """The limiter over a stream: the log of accepted requests is the state of a key. It is dropped once the watermark has
+    passed the longest horizon; events later than ``late`` are not judged."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     longest = max(s for s, _ in limits)
@@ -68,7 +69,9 @@ def rate_limit_stream(events: DataFrame, limits=LIMITS) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["ts", "id"], ignore_index=True)
         rows["accepted"] = _accept([t.timestamp() for t in rows["ts"]], log, limits)
         state.update((log,))
-        state.setTimeoutDuration(longest * 1000)
+        last = max([*log, rows["ts"].iloc[-1].timestamp()])
+        state.setTimeoutTimestamp(max(int((last + longest) * 1000), state.getCurrentWatermarkMs() + 1))
         yield rows[["key", "ts", "id", "accepted"]]
 
-    return events.select("key", "ts", "id").groupBy("key").applyInPandasWithState(run, "key long, ts timestamp, id long, accepted boolean", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = events.select("key", "ts", "id").withWatermark("ts", late).groupBy("key")
+    return keyed.applyInPandasWithState(run, "key long, ts timestamp, id long, accepted boolean", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
