@@ -25,7 +25,7 @@ def runs_entropy(items: Column) -> Column:
         counts = let(starts, lambda p: F.transform(p, lambda a, k: (F.coalesce(F.get(p, k + 1), n) - a).cast("double")))
         return F.aggregate(counts, F.lit(0.0), lambda t, c: t - c / n * F.log2(c / n))
 
-    return let(F.array_sort(items), lambda s: F.when(F.size(s) == 0, 0.0).otherwise(of(s)))
+    return let(F.sort_array(items), lambda s: F.when(F.size(s) == 0, 0.0).otherwise(of(s)))
 
 
 def perplexity(toks: Column) -> Column:
@@ -57,7 +57,7 @@ def vocabulary(toks: Column) -> Column:
         mean = let(windows, lambda t: F.aggregate(t, F.lit(0.0), lambda a, x: a + x) / F.size(t))
         distinct = F.size(F.array_distinct(w))
         ttr = F.when(n > 50, mean).otherwise(distinct / n)
-        alone = let(F.array_sort(w), lambda s: F.size(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) != x, F.lit(True)) & F.coalesce(F.get(s, i + 1) != x, F.lit(True)))))
+        alone = let(F.sort_array(w), lambda s: F.size(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) != x, F.lit(True)) & F.coalesce(F.get(s, i + 1) != x, F.lit(True)))))
         return F.when(n < 20, 0.0).otherwise(unit(0.6 * unit(1 - ttr / 0.7) + 0.4 * unit(1 - alone / distinct)))
 
     return let(toks, of)

@@ -43,18 +43,15 @@ def ngrams(items: Column, n: int, sep: str = " ") -> Column:
     """Windows of n items, joined; an input of 1 to n - 1 items is one window, an empty one has none."""
 
     def windows(x: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, F.lit(n)), sep))
+        every = F.transform(F.sequence(F.lit(0), F.size(x) - n), lambda i: F.concat_ws(sep, *[F.get(x, i + k) for k in range(n)]))  # a slice would copy x
         return F.when(F.size(x) >= n, every).when(F.size(x) > 0, F.array(F.array_join(x, sep))).otherwise(F.array().cast("array<string>"))
 
     return let(items, windows)
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    def windows(t: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, F.lit(n)))
-        return F.when(F.length(t) >= n, every).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
-
-    return let(text, windows)
+    """Windows of n characters. The characters are an array first: a position in a string is found from its start."""
+    return ngrams(F.filter(F.split(text, ""), lambda c: c != ""), n, "")
 
 
 def ngram_text(text: Column) -> Column:
@@ -78,9 +75,9 @@ def winnow(hashes: Column, window: int, rightmost: bool = False) -> Column:
     """
 
     def least(h: Column) -> Column:
-        pick = (lambda i, k: i - k) if rightmost else (lambda i, k: i + k)
-        at = lambda i: F.array_min(F.transform(F.slice(h, i, F.lit(window)), lambda x, k: F.struct(x.alias("h"), pick(F.lit(0), k).alias("o"), (i + k).alias("p"))))["p"]
-        every = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), at))
+        sign = -1 if rightmost else 1
+        at = lambda i: F.array_min(F.array(*[F.struct(F.get(h, i + k).alias("h"), F.lit(sign * k).alias("o"), (i + k + 1).alias("p")) for k in range(window)]))["p"]
+        every = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - window), at))
         return F.when(F.size(h) >= window, every).when(F.size(h) > 0, F.sequence(F.lit(1), F.size(h))).otherwise(F.array().cast("array<int>"))
 
     return let(hashes, least)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import written
+
 
 def classes(sets: DataFrame) -> DataFrame:
     """(id, items) to one row for each distinct set: id (the least), items, n (its size), copies."""
-    keyed = sets.filter(F.size("items") > 0).select("id", F.array_sort(F.array_distinct("items")).alias("items")).withColumn("key", F.sha2(F.array_join("items", "\n"), 256))
+    keyed = sets.select("id", F.sort_array(F.array_distinct("items")).alias("items")).withColumn("key", F.sha2(F.array_join("items", "\n"), 256)).filter(F.size("items") > 0)
+    keyed = written(keyed, "sets")
     ids = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     return keyed.join(ids, ["key", "id"]).select("id", "items", F.size("items").alias("n"), "copies")
 

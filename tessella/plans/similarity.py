@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scores, text
 from tessella.operators import graph, setjoin, sketch, vectors
-from tessella.session import table
+from tessella.session import table, written
 
 #: Words of a shingle and the least similarity of a candidate pair.
 WORDS, NUM, DEN = 5, 1, 2
@@ -15,12 +15,12 @@ WORDS, NUM, DEN = 5, 1, 2
 
 def shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return setjoin.classes(docs.select(F.col("doc_id").alias("id"), text.ngrams(text.tokens(F.col("text")), WORDS).alias("items")))
+    return written(setjoin.classes(docs.select(F.col("doc_id").alias("id"), text.ngrams(text.tokens(F.col("text")), WORDS).alias("items"))), "shingles")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct shingle sets with a Jaccard similarity of one half or more, by their least ids."""
-    return setjoin.jaccard_pairs(shingled(spark, sf_dir), NUM, DEN)
+    return written(setjoin.jaccard_pairs(shingled(spark, sf_dir), NUM, DEN), "pairs")
 
 
 def suspicious_pairs(spark, sf_dir):
@@ -86,9 +86,16 @@ def _items(spark, sf_dir, items):
     return docs.select(F.col("doc_id").alias("id"), items(F.col("text")).alias("items"))
 
 
+def _scored(spark, sf_dir, items, how):
+    """Scores of candidate pairs; only their documents are tokenized."""
+    pairs = candidates(spark, sf_dir)
+    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    return how(pairs, written(docs.select("id", items(F.col("text")).alias("items")), "items"))
+
+
 def char_ngram_dice(spark, sf_dir):
-    docs = _items(spark, sf_dir, lambda t: text.char_ngrams(text.ngram_text(t), 5))
-    return setjoin.set_scores(candidates(spark, sf_dir), docs).select("id_a", "id_b", setjoin.dice().alias("score"))
+    return _scored(spark, sf_dir, lambda t: text.char_ngrams(text.ngram_text(t), 5), setjoin.set_scores).select("id_a", "id_b", setjoin.dice().alias("score"))
 
 
 _CHARS = r"""c AS (SELECT doc_id AS id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '"[^"]*"', 'S', 'g'), '[0-9]+', 'N', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ') AS t FROM documents
@@ -99,8 +106,7 @@ SELECT id_a, id_b, 2 * len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x)) AS
 
 
 def token_bigram_dice(spark, sf_dir):
-    docs = _items(spark, sf_dir, lambda t: text.ngrams(text.tokens(t), 2))
-    return setjoin.set_scores(candidates(spark, sf_dir), docs).select("id_a", "id_b", setjoin.dice().alias("score"))
+    return _scored(spark, sf_dir, lambda t: text.ngrams(text.tokens(t), 2), setjoin.set_scores).select("id_a", "id_b", setjoin.dice().alias("score"))
 
 
 BIGRAM_SQL = f"""WITH {_SETS}, x AS (SELECT id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] END) AS x FROM tok)
@@ -108,7 +114,7 @@ SELECT id_a, id_b, 2 * len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x)) AS
 
 
 def token_jaccard(spark, sf_dir):
-    return setjoin.set_scores(candidates(spark, sf_dir), _items(spark, sf_dir, text.tokens)).select("id_a", "id_b", setjoin.jaccard().alias("score"))
+    return _scored(spark, sf_dir, text.tokens, setjoin.set_scores).select("id_a", "id_b", setjoin.jaccard().alias("score"))
 
 
 JACCARD_SQL = f"""WITH {_SETS}, x AS (SELECT id, list_distinct(w) AS x FROM tok)
@@ -117,8 +123,7 @@ SELECT id_a, id_b, len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(li
 
 def keyword_overlap(spark, sf_dir):
     words = F.array(*map(F.lit, text.KEYWORDS))
-    docs = _items(spark, sf_dir, lambda t: F.array_intersect(text.tokens(t), words))
-    return setjoin.set_scores(candidates(spark, sf_dir), docs).select("id_a", "id_b", F.col("common").cast("long").alias("common"), setjoin.jaccard().alias("score"))
+    return _scored(spark, sf_dir, lambda t: F.array_intersect(text.tokens(t), words), setjoin.set_scores).select("id_a", "id_b", F.col("common").cast("long").alias("common"), setjoin.jaccard().alias("score"))
 
 
 KEYWORD_SQL = f"""WITH {_SETS}, x AS (SELECT id, list_intersect(list_distinct(w), {text.KEYWORDS!r}) AS x FROM tok),
@@ -127,7 +132,7 @@ SELECT id_a, id_b, common, CASE WHEN n = 0 THEN 1.0 ELSE common / (n - common) E
 
 
 def multiset_jaccard(spark, sf_dir):
-    return setjoin.pair_counts(candidates(spark, sf_dir), _items(spark, sf_dir, text.tokens)).select("id_a", "id_b", setjoin.multiset_jaccard().alias("score"))
+    return _scored(spark, sf_dir, text.tokens, setjoin.pair_counts).select("id_a", "id_b", setjoin.multiset_jaccard().alias("score"))
 
 
 _COUNTS = """ct AS (SELECT id, t, count(*) AS c FROM (SELECT id, unnest({0}) AS t FROM tok WHERE id IN (SELECT id_a FROM cand UNION SELECT id_b FROM cand)) GROUP BY 1, 2),
@@ -139,15 +144,14 @@ MULTISET_SQL = f"WITH {_SETS}, {_COUNTS.format('w')} SELECT id_a, id_b, CASE WHE
 
 
 def token_cosine(spark, sf_dir):
-    return setjoin.pair_counts(candidates(spark, sf_dir), _items(spark, sf_dir, text.tokens)).select("id_a", "id_b", F.round(setjoin.cosine(), 9).alias("score"))
+    return _scored(spark, sf_dir, text.tokens, setjoin.pair_counts).select("id_a", "id_b", F.round(setjoin.cosine(), 9).alias("score"))
 
 
 COSINE_SQL = f"WITH {_SETS}, {_COUNTS.format('w')} SELECT id_a, id_b, round(CASE WHEN qa = 0 OR qb = 0 THEN 0.0 ELSE dot / sqrt(qa::DOUBLE * qb) END, 9) AS score FROM pc"
 
 
 def logic_flow(spark, sf_dir):
-    docs = _items(spark, sf_dir, lambda t: text.flow_tokens(text.tokens(t)))
-    return setjoin.pair_counts(candidates(spark, sf_dir), docs).select("id_a", "id_b", setjoin.multiset_jaccard().alias("score"))
+    return _scored(spark, sf_dir, lambda t: text.flow_tokens(text.tokens(t)), setjoin.pair_counts).select("id_a", "id_b", setjoin.multiset_jaccard().alias("score"))
 
 
 _FLOW = "[CASE WHEN t IN ('for', 'while', 'do') THEN 'LOOP' WHEN t IN ('if', 'switch') THEN 'COND' WHEN t IN ('else', 'case', 'default', 'elif') THEN 'ALT' ELSE 'NUM' END for t in w if t IN ('for', 'while', 'do', 'if', 'switch', 'else', 'case', 'default', 'elif') OR regexp_full_match(t, '[0-9]+')]"
@@ -245,7 +249,7 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_fingerprints, md5(coalesce(ps, '')) A
 
 def winnow_similarity(spark, sf_dir):
     """Pairs of distinct fingerprint sets by Jaccard, and the floored form that takes control flow as equal."""
-    sets = setjoin.classes(_fingerprints(spark, sf_dir).select("id", F.col("f").alias("items")))
+    sets = written(setjoin.classes(_fingerprints(spark, sf_dir).select("id", F.col("f").alias("items"))), "fingerprints")
     raw = F.col("common") / F.col("total")
     return setjoin.jaccard_pairs(sets, NUM, DEN).select("id_a", "id_b", F.round(raw, 9).alias("winnowing_raw"), F.round(0.25 + 0.65 * raw, 9).alias("winnowing"))
 
