@@ -33,6 +33,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """Hands texts to Python in batches of at most so many rows, which bounds a worker's memory; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "0")) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for each row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import small_batches
+
 WINDOW = 64
 HIDDEN = 8
 DOCS_PER_LABEL = 192
@@ -235,7 +237,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, score = _judge(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
@@ -246,7 +248,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> Dat
             names, score = _judge(model, batch.column("text"))
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

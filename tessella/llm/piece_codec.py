@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.common import small_batches
+
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 MODEL = "piece_bpe_32k.model"
@@ -168,7 +170,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             lists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "ids", "starts", "ends"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -199,7 +201,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(cols, kinds, strict=True))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_crc32 long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_crc32 long")
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.common import small_batches
+
 #: The base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -231,7 +233,7 @@ def scan(docs: DataFrame, scanner: Scanner, redact: bool = False, mark: str = "[
             spans = pa.array([[{"start": a, "end": b, "kind": kind} for a, b, kind in f] for f in found], schema)
             yield pa.RecordBatch.from_arrays([*cols, spans], [*batch.schema.names, "secret_spans"])
 
-    kept = docs.select(*[c for c in docs.columns if c != "secret_spans"])
+    kept = small_batches(docs).select(*[c for c in docs.columns if c != "secret_spans"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(run, f"{fields}, secret_spans array<struct<start:long,end:long,kind:string>>")
 
