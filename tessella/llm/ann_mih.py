@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import least_hashed, materialize
 
 BITS, PARTS = 64, 8
 WIDTH = BITS // PARTS
@@ -77,8 +77,8 @@ class Coder:
 
 
 def coder_for(vectors: DataFrame, id_col: str, vector_col: str) -> Coder:
-    h = F.xxhash64(F.col(id_col), F.lit(3))
-    rows = vectors.select(h.alias("h"), F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v")).filter("v IS NOT NULL AND i IS NOT NULL").orderBy("h", "i", F.hash("v")).limit(SAMPLE).collect()
+    given = vectors.select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v")).filter("v IS NOT NULL AND i IS NOT NULL")
+    rows = least_hashed(given, "i", SAMPLE, 3).withColumn("x", F.hash("v")).orderBy("__h", "i", "x").limit(SAMPLE).collect()
     return Coder([v for r in rows if (v := usable(r["v"])) is not None])
 
 

@@ -41,6 +41,14 @@ def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     return df
 
 
+def least_hashed(df: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
+    """The rows whose id has one of the k least hashes, with that hash as ``__h``. Ids alone are ranked first, so that no
+    task sends k whole rows to the driver."""
+    h = F.xxhash64(F.col(id_col), F.lit(seed)).alias("__h")
+    least = df.select(h).orderBy("__h").limit(k).distinct()
+    return df.select("*", h).join(F.broadcast(least), "__h", "left_semi")  # at most k hashes
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for each row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

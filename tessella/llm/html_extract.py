@@ -28,7 +28,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tessella.llm.common import least_hashed
 
 SAMPLE_PAGES = 256
 
@@ -164,8 +165,8 @@ def extract(page: str | None, weights: dict[str, dict[str, float]]) -> str:
 
 
 def training_pages(pages: DataFrame) -> list[str]:
-    h = F.xxhash64(F.col("page_id"), F.lit(9))
-    return [r["html"] for r in pages.filter("html IS NOT NULL").select(h.alias("h"), "page_id", "html").orderBy("h", "page_id", "html").limit(SAMPLE_PAGES).collect()]
+    least = least_hashed(pages.filter("html IS NOT NULL").select("page_id", "html"), "page_id", SAMPLE_PAGES, 9)
+    return [r["html"] for r in least.orderBy("__h", "page_id", "html").limit(SAMPLE_PAGES).collect()]
 
 
 def extract_main(pages: DataFrame, weights: dict[str, dict[str, float]]) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches
+from tessella.llm.common import least_hashed, small_batches
 
 #: The base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -183,9 +183,9 @@ def train(pieces: list[str], steps: int = 260, seed: int = 11) -> Scanner:
 
 def training_pieces(docs: DataFrame) -> list[str]:
     """Pieces of the documents with the least hash; a bounded sample."""
-    h = F.xxhash64(F.col("doc_id"), F.lit(2))
-    at = F.pmod(h, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)).cast("long")).cast("int") + 1
-    rows = docs.filter("text IS NOT NULL").select(h.alias("h"), "doc_id", F.substr("text", at, F.lit(SAMPLE_CHARS)).alias("piece")).orderBy("h", "doc_id", "piece").limit(SAMPLE_DOCS).collect()
+    least = least_hashed(docs.filter("text IS NOT NULL").select("doc_id", "text"), "doc_id", SAMPLE_DOCS, 2)
+    at = F.pmod("__h", F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)).cast("long")).cast("int") + 1
+    rows = least.select("__h", "doc_id", F.substr("text", at, F.lit(SAMPLE_CHARS)).alias("piece")).orderBy("__h", "doc_id", "piece").limit(SAMPLE_DOCS).collect()
     return [r["piece"] for r in rows]
 
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import scratch_dir
+from tessella.llm.common import least_hashed, scratch_dir
 
 MAGIC = b"TSLTOK01"
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u4"), ("offset", "<u8"), ("size", "<u4")])
@@ -79,7 +79,8 @@ def train_dictionary(docs: DataFrame, path: str, pattern: str) -> bytes:
     """A dictionary from a bounded sample; empty if the sample is too small to train on."""
     import zstandard
 
-    rows = docs.filter("text IS NOT NULL").select(F.xxhash64("doc_id", F.lit(6)).alias("h"), "doc_id", F.substr("text", F.lit(1), F.lit(4 * SAMPLE_IDS)).alias("t")).orderBy("h", "doc_id", "t").limit(SAMPLE_DOCS).collect()
+    least = least_hashed(docs.filter("text IS NOT NULL").select("doc_id", "text"), "doc_id", SAMPLE_DOCS, 6)
+    rows = least.select("__h", "doc_id", F.substr("text", F.lit(1), F.lit(4 * SAMPLE_IDS)).alias("t")).orderBy("__h", "doc_id", "t").limit(SAMPLE_DOCS).collect()
     samples = [ids_of(r["t"], path, pattern)[:SAMPLE_IDS].tobytes() for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
