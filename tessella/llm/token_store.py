@@ -13,8 +13,8 @@ shards before it. One document is read with the footer, its index entry and its
 serialized ids of at most ``SAMPLE_DOCS`` documents, those with the least hash, and lies beside the shards; a reader
 refuses a dictionary whose hash differs.
 
-Ids are those of the tokenizers library's file. The library itself merges words at a third of the speed of tiktoken,
-which reads the same vocabulary and merges from that file here; tests hold the two equal (README, figures).
+Ids come from the tokenizers library, which encodes each distinct word once in a worker; tests hold them equal to those
+of whole texts.
 
 A shard is written under a temporary name and moved, so that a task which runs twice leaves one whole file.
 
@@ -26,10 +26,10 @@ Texts that contain a control string are encoded as ordinary text.
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,35 +44,41 @@ MAGIC = b"TSLTOK01"
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u4"), ("offset", "<u8"), ("size", "<u4")])
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
+#: Words that a worker remembers in each of two generations, and their most characters.
+WORDS, WORD_CHARS = 1 << 17, 64
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 512, 8_192, 65_536, 3
 
 
-def _byte_of() -> dict[str, int]:
-    """The public byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+class Words(dict):
+    """Ids of each distinct word of the file's own pattern, encoded once by the tokenizers library. The library never
+    merges across words, so a text's ids are those of its words. Memory is bounded: two generations of ``WORDS`` short
+    words; longer words are encoded each time."""
 
+    def __init__(self, path: str, pattern: str):
+        import regex
+        from tokenizers import Tokenizer
 
-_encoders: dict[str, object] = {}
+        self.library, self.split, self.old = Tokenizer.from_file(path), regex.compile(pattern).findall, {}
+        self.library.encode_special_tokens = True
 
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.old.get(word) or tuple(self.library.encode(word, add_special_tokens=False).ids)
+        if len(word) <= WORD_CHARS:
+            if len(self) >= WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
-def encoder(path: str, pattern: str):
-    """An encoder with the vocabulary of a byte-level tokenizer file, whose ids are in the order of its merges."""
-    if path not in _encoders:
-        import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        special = {t["content"] for t in model["added_tokens"] if t["special"]}
-        of = _byte_of()
-        ranks = {bytes(of[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-        _encoders[path] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+_encoders: dict[str, Words] = {}
 
 
 def ids_of(text: str | None, path: str, pattern: str) -> np.ndarray:
-    return np.array([*encoder(path, pattern).encode_ordinary(text or ""), END_ID], "<u4")
+    words = _encoders.get(path)
+    if words is None:
+        words = _encoders[path] = Words(path, pattern)
+    return np.fromiter(chain(chain.from_iterable(map(words.__getitem__, words.split(text or ""))), (END_ID,)), "<u4")
 
 
 def train_dictionary(docs: DataFrame, path: str, pattern: str) -> bytes:
