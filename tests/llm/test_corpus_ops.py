@@ -84,6 +84,14 @@ def test_large_regions_are_divided_exactly(spark, monkeypatch):
     assert joined(J.jaccard_join(docs(spark, rows, False), 5, 80)) == brute_join(rows, 5, 80)
 
 
+def test_few_very_long_near_copies(spark, monkeypatch):
+    """More parts than sets: a part has the pivots of its region alone."""
+    monkeypatch.setattr(J, "REGION_SHINGLES", 200)
+    words = [f"w{j}" for j in range(900)]
+    rows = [(i, " ".join([*words, f"end{i}"]), "en", "z") for i in range(2)] + [(9, "none like this one here", "en", "z")]
+    assert joined(J.jaccard_join(docs(spark, rows, False))) == brute_join(rows)
+
+
 def test_join_of_nothing(spark):
     assert J.jaccard_join(docs(spark, [])).count() == 0
     assert joined(J.jaccard_join(docs(spark, [(5, None, None, None)]))) == {5: (0, 5, 1, 0)}
