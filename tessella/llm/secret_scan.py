@@ -2,17 +2,17 @@
 
 Three rules give the base findings: ``assign`` (a named value), ``access`` (an access key id) and ``hex`` (a run of
 lower-case hexadecimal digits). Every other run of ``CANDIDATE`` characters is a candidate for the network, kind
-``net``: its characters and those around it are embedded, convolved, max-pooled and scored, all in numpy. The network is
-trained on labelled findings, which are seeded random keys and harmless look-alikes set into pieces of at most
-``SAMPLE_DOCS`` documents, half of them kept apart to calibrate its scores (a logistic fit) and to choose the threshold:
-the highest that keeps ``RECALL`` of the labelled secrets. Base findings always stay.
+``net``: its characters and those around it are embedded, convolved, max-pooled and scored, all in numpy. A candidate
+longer than a window is seen whole: windows slide over it, and its score is the greatest of theirs. The network is
+trained on labelled findings, which are seeded random keys, keys inside long paths, and harmless look-alikes, set into
+pieces of at most ``SAMPLE_DOCS`` documents, half of them kept apart to calibrate its scores (a logistic fit) and to
+choose the threshold: the highest that keeps ``RECALL`` of the labelled secrets. Base findings always stay.
 
-Spans are [start, end) in code points of the whole text, leftmost and without overlap within a kind; a candidate that
-overlaps a base finding is not scored.
+Spans are [start, end) in code points of the whole text, leftmost and without overlap within a kind. Of a run that
+overlaps base findings, the parts outside them are candidates if they are as long as one.
 
 Defined results: a null or empty text has no findings and the digest of the empty string. Repeated rows get equal
-results. An empty table gives an empty result. Other columns are ignored. Long texts are scanned whole; only the window
-that the network sees of one candidate is bounded.
+results. An empty table gives an empty result. Other columns are ignored. Long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,17 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "net")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE, LEAST_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20
 #: What a text must hold, at least, for a rule to find anything in it; looked for over whole batches.
 HINTS = {"assign": r"(?i)passw|secret|token|api", "access": "AKIA", "hex": "[0-9a-f]{32}", "net": "[A-Za-z0-9+/_=-]{20}"}
 
 #: The network's window: characters before, first and last ones of the candidate, characters after.
 BEFORE, FIRST, LAST, AFTER = 16, 32, 8, 8
 LENGTH = BEFORE + FIRST + LAST + AFTER
+#: From one window on a long candidate to the next: any LEAST_CANDIDATE characters lie whole in one of them.
+STEP = 8
+#: Most windows that are scored at once.
+WINDOWS = 8192
 EMBED, WIDTH, FILTERS = 8, 5, 24
 SAMPLE_DOCS, SAMPLE_CHARS = 256, 400
 RECALL = 0.98
@@ -70,7 +75,21 @@ def base_spans(text: str, kinds=KINDS[:3]) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in base)]
+    """Runs of candidate characters; of one that overlaps base findings, the parts outside them. ``base`` is in order."""
+    out, k = [], 0
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        while k < len(base) and base[k][1] <= at:
+            k += 1
+        for s, e, _ in islice(base, k, None):
+            if s >= end:
+                break
+            if s - at >= LEAST_CANDIDATE:
+                out.append((at, s))
+            at = max(at, e)
+        if end - at >= LEAST_CANDIDATE:
+            out.append((at, end))
+    return out
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
@@ -84,6 +103,19 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return x
 
 
+def starts(start: int, end: int) -> range:
+    """Where windows of FIRST characters begin on a candidate that one window does not hold; the last ends with it."""
+    return range(start, end - FIRST + STEP, STEP) if end - start > FIRST + LAST else range(0)
+
+
+def windows(text: str, start: int, end: int) -> Iterator[np.ndarray]:
+    """All windows of a candidate, at most WINDOWS at once."""
+    yield window(text, start, end)[None]
+    every = starts(start, end)
+    for i in range(0, len(every), WINDOWS):
+        yield np.stack([window(text, at, at + FIRST) for at in (min(a, end - FIRST) for a in every[i : i + WINDOWS])])
+
+
 def _forward(p: dict, x: np.ndarray):
     e = p["embed"][x]  # (n, LENGTH, EMBED)
     cols = np.lib.stride_tricks.sliding_window_view(e, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(x), LENGTH - WIDTH + 1, WIDTH * EMBED)
@@ -102,8 +134,8 @@ def scores(s: Scanner, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(s.scale * raw_scores(s.params, x) + s.shift, -60, 60)))
 
 
-def labelled_findings(pieces: list[str], rng: np.random.Generator, n: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels of random keys and of look-alikes, set into pieces of text."""
+def _makers(pieces: list[str], rng: np.random.Generator):
+    """Functions that make a random key, a harmless look-alike, joined words, and text around them."""
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     pick = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
     words = [w for p in pieces for w in re.findall(r"[A-Za-z]+", p)] or ["lorem", "ipsum", "dolor", "amet"]
@@ -131,31 +163,75 @@ def labelled_findings(pieces: list[str], rng: np.random.Generator, n: int = 4000
             return "-".join(pick(digit, int(rng.integers(2, 5))) for _ in range(8))
         return joined("").title() + pick(digit, int(rng.integers(0, 4)))
 
+    def around() -> tuple[str, str]:
+        piece = pieces[rng.integers(0, len(pieces))] if pieces else ""
+        cut = int(rng.integers(0, len(piece) + 1))
+        left = piece[:cut] + (" ", "\n", '"', "= ", ": ", "### ", "(")[rng.integers(0, 7)]
+        return left, (" ", "\n", '"', ",", ".", ")", "###")[rng.integers(0, 7)] + piece[cut:]
+
+    return key, harmless, joined, around
+
+
+def labelled_findings(pieces: list[str], rng: np.random.Generator, n: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels of random keys and of look-alikes, set into pieces of text."""
+    key, harmless, _, around = _makers(pieces, rng)
     xs, ys = [], []
     while len(xs) < n:
         secret = bool(rng.integers(0, 2))
         body = key() if secret else harmless()
         if len(body) < 20:
             continue
-        around = pieces[rng.integers(0, len(pieces))] if pieces else ""
-        cut = int(rng.integers(0, len(around) + 1))
-        left = around[:cut] + (" ", "\n", '"', "= ", ": ", "### ", "(")[rng.integers(0, 7)]
-        right = (" ", "\n", '"', ",", ".", ")", "###")[rng.integers(0, 7)] + around[cut:]
+        left, right = around()
         xs.append(window(left + body + right, len(left), len(left) + len(body)))
         ys.append(secret)
     return np.stack(xs), np.array(ys, np.float32)
 
 
+def labelled_runs(pieces: list[str], rng: np.random.Generator, n: int = 1200) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Long runs, half of them with a key inside: the windows of each, and their labels. A window that holds a part of a
+    key has the label -1, for neither."""
+    key, harmless, _, around = _makers(pieces, rng)
+    # words of a small sample have few letters beside each other, so made-up ones of syllables stand among them
+    pick = lambda chars: chars[rng.integers(0, len(chars))]
+    spoken = ["".join(pick("bcdfghjklmnprstvwyz") + pick("aeiouy") + pick(("", "", "n", "r", "s", "t", "l")) for _ in range(rng.integers(1, 5))) for _ in range(2000)]
+    words = [w for p in pieces for w in re.findall(r"[A-Za-z]+", p)] or spoken
+    joined = lambda sep: sep.join(pick((words, spoken)[rng.integers(0, 2)]) for _ in range(rng.integers(4, 12)))
+    runs = []
+    while len(runs) < n:
+        sep = ("/", "-", "_", "")[rng.integers(0, 4)]
+        head, tail = (sep.join((joined(sep), harmless().strip("/"))) if rng.integers(0, 3) == 0 else joined(sep) for _ in range(2))
+        secret = key() if rng.integers(0, 2) else ""
+        body = sep.join(x for x in (head, secret, tail if rng.integers(0, 4) or not secret else "") if x)
+        if len(body) <= FIRST + LAST:
+            continue
+        left, right = around()
+        a, k = len(left), len(left) + len(head) + len(sep)
+        x = np.concatenate(list(windows(left + body + right, a, a + len(body))))
+        if not secret:
+            runs.append((x, np.zeros(len(x), np.float32)))
+            continue
+        at = np.minimum(np.array(starts(a, a + len(body))), a + len(body) - FIRST)
+        held = np.minimum(at + FIRST, k + len(secret)) - np.maximum(at, k)
+        y = np.where(held >= LEAST_CANDIDATE, 1, np.where(held <= 0, 0, -1))
+        runs.append((x, np.concatenate(([-1], y)).astype(np.float32)))
+    return runs
+
+
 def train(pieces: list[str], steps: int = 260, seed: int = 11) -> Scanner:
     """The same pieces in the same order give the same scanner."""
     rng = np.random.default_rng(seed)
     x, y = labelled_findings(pieces, rng)
-    half = len(x) // 2
+    runs = labelled_runs(pieces, np.random.default_rng(seed + 1))
+    half, apart = len(x) // 2, runs[len(runs) // 2 :]
+    # learned from: windows of findings and of long runs; kept apart: a candidate each, with all its windows
+    late, late_y = [*x[half:, None], *(r for r, _ in apart)], np.concatenate((y[half:], [float((t != 0).any()) for _, t in apart]))
+    learned, labels = (np.concatenate((first[:half], *rest)) for first, rest in ((x, [r for r, _ in runs[: len(runs) // 2]]), (y, [t for _, t in runs[: len(runs) // 2]])))
+    x, y = learned[labels >= 0], labels[labels >= 0]
     norm = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0] if len(shape) > 1 else 8)).astype(np.float32)
     p = {"embed": norm(256, EMBED) * 4, "conv": norm(WIDTH * EMBED, FILTERS), "bias": np.zeros(FILTERS, np.float32), "out": norm(FILTERS), "at": np.zeros(1, np.float32)}
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        b = rng.integers(0, half, 128)
+        b = rng.integers(0, len(x), 128)
         z, (cols, best, top) = _forward(p, x[b])
         d = ((1 / (1 + np.exp(-z)) - y[b]) / len(b)).astype(np.float32)
         dtop = d[:, None] * p["out"] * (top > 0)
@@ -168,7 +244,7 @@ def train(pieces: list[str], steps: int = 260, seed: int = 11) -> Scanner:
             m1[k] += np.float32(0.1) * (g[k] - m1[k])
             m2[k] += np.float32(0.01) * (g[k] ** 2 - m2[k])
             p[k] -= np.float32(0.02) * (m1[k] / np.float32(1 - 0.9**step)) / (np.sqrt(m2[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
-    z, t = raw_scores(p, x[half:]).astype(np.float64), y[half:]
+    z, t = np.maximum.reduceat(raw_scores(p, np.concatenate(late)).astype(np.float64), np.cumsum([0, *map(len, late[:-1])])), late_y
     a, c = 1.0, 0.0
     for _ in range(50):  # Newton steps of the logistic fit, lightly held to a = 1
         q = 1 / (1 + np.exp(-np.clip(a * z + c, -60, 60)))
@@ -176,8 +252,8 @@ def train(pieces: list[str], steps: int = 260, seed: int = 11) -> Scanner:
         h = np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
         a, c = np.array([a, c]) - np.clip(np.linalg.solve(h, g), -1, 1)
     s = Scanner(p, float(a), float(c), 0.0)
-    positive = np.sort(scores(s, x[half:][t > 0]))
-    s.threshold = float(max(0.5, positive[int((1 - RECALL) * len(positive))]))
+    positive = np.sort(1 / (1 + np.exp(-np.clip(a * z[t > 0] + c, -60, 60))))
+    s.threshold = float(positive[int((1 - RECALL) * len(positive))])
     return s
 
 
@@ -193,7 +269,15 @@ def scan_batch(s: Scanner, texts: pa.Array) -> list[list[tuple[int, int, str]]]:
     """All spans of each text, by start, then kind as listed."""
     masks = {k: pc.fill_null(pc.match_substring_regex(texts, hint), False).to_numpy(zero_copy_only=False) for k, hint in HINTS.items()}
     found: list[list[tuple[int, int, str]]] = [[] for _ in range(len(texts))]
-    owners, spans, xs = [], [], []
+    owners, spans, best = [], [], []
+    xs, of, held = [], [], 0
+
+    def flush():
+        nonlocal xs, of, held
+        for k, score in zip(np.repeat(of, [len(x) for x in xs]), scores(s, np.concatenate(xs)), strict=True):
+            best[k] = max(best[k], score)
+        xs, of, held = [], [], 0
+
     for i in np.flatnonzero(np.any(list(masks.values()), axis=0)):
         text = texts[int(i)].as_py()
         found[i] = base_spans(text, [k for k in KINDS[:3] if masks[k][i]])
@@ -201,9 +285,17 @@ def scan_batch(s: Scanner, texts: pa.Array) -> list[list[tuple[int, int, str]]]:
             for a, b in candidates(text, found[i]):
                 owners.append(i)
                 spans.append((a, b, "net"))
-                xs.append(window(text, a, b))
+                best.append(0.0)
+                for x in windows(text, a, b):
+                    xs.append(x)
+                    of.append(len(best) - 1)
+                    held += len(x)
+                    if held >= WINDOWS:
+                        flush()
     if xs:
-        for i, span, score in zip(owners, spans, scores(s, np.stack(xs)), strict=True):
+        flush()
+    if owners:
+        for i, span, score in zip(owners, spans, best, strict=True):
             if score >= s.threshold:
                 found[i].append(span)
         for i in set(owners):

@@ -112,6 +112,26 @@ def test_base_findings_stay_and_nets_add(scanner):
     assert any(k == "net" for *_, k in found[6]) and not found[7]
 
 
+def test_keys_inside_long_runs(scanner):
+    """A key anywhere in a long path, or in a run beside a base finding, is found; the path alone is not."""
+    rng = random.Random(12)
+    path, tail = "docs/build/output/cache/objects/release", "other/file/name/with/some/more/words"
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in range(100)]
+    found = S.scan_batch(scanner, pa.array([f"see {path}/{k}/{tail} there" for k in keys]))
+    assert sum(any(kind == "net" for *_, kind in f) for f in found) >= 95
+    beside = S.scan_batch(scanner, pa.array([f"see {k}/{'0af' * 11} there" for k in keys]))
+    assert sum({kind for *_, kind in f} == {"hex", "net"} for f in beside) >= 95
+    assert not S.scan_batch(scanner, pa.array([f"see {path}/{tail} there"]))[0]
+
+
+def test_threshold_keeps_the_recall(scanner):
+    runs = S.labelled_runs([w for w, _ in samples(4, 10)], np.random.default_rng(98), 600)
+    best = np.array([S.scores(scanner, x).max() for x, _ in runs])
+    secret = np.array([(y != 0).any() for _, y in runs])
+    assert (best[secret] >= scanner.threshold).mean() > 0.95
+    assert (best[~secret] >= scanner.threshold).mean() < 0.05
+
+
 def test_secret_query_and_redaction(spark, scanner, tmp_path):
     df = docs(spark, [(i, t, "en", "a") for i, t in enumerate(SECRET_TEXTS)])
     df.write.parquet(f"{tmp_path}/documents.parquet")
