@@ -3,10 +3,14 @@
 A source's documents, in hash order, fill blocks of ``block_chars`` characters; a document belongs to the block in which
 it begins. With the weight w = n / D of its source, block k (from 0) is released at slot floor(k / w) and due before
 slot ceil((k + 1) / w). Every slot goes to the released block with the earliest deadline. The weights are whole numbers
-that sum to the period D, so the schedule repeats after D slots: one period is simulated (D is a parameter, at most
-``MAX_PERIOD``), and block k of a source stands in slot (k div n) D + slot(k mod n). At every slot, each source is
-within less than one block of its share. Numbering the documents of a source and the final order are distributed prefix
-sums: no task holds a source.
+that sum to the period D, so the schedule repeats after D slots: one period is simulated, and block k of a source stands
+in slot (k div n) D + slot(k mod n). At every slot, each source is within less than one block of its weight's share.
+Numbering the documents of a source and the final order are distributed prefix sums: no task holds a source.
+
+Any number of sources is mixed. D is the parameter, or else follows from the weights: a multiple of the common
+denominator of the given targets, which has no rounding, or SLOTS slots for each source (fewer, at least 2, where they
+would be more than MANY_SLOTS). What rounding is left is under one slot of D for a source and, as every source has a
+slot, what sources below one slot of D get above their share, which the others give in proportion.
 
 All documents are kept. A source that runs out leaves its later slots empty.
 
@@ -28,24 +32,44 @@ from pyspark.sql import functions as F
 from tessella.llm.common import materialize
 
 BLOCK_CHARS = 65_536
-PERIOD, MAX_PERIOD, MAX_SOURCES = 1_000, 100_000, 10_000
+#: Least slots of a period that follows from the weights; slots for each source, and from how many in all they get fewer.
+PERIOD, SLOTS, MANY_SLOTS = 1_000, 100, 1_000_000
 TEMPER = 0.7
 #: Hash buckets of a source whose sizes are summed before documents are numbered within one.
 BUCKETS = 4096
 
 
-def whole_weights(sizes: dict[str, float], period: int) -> dict[str, int]:
+def whole_weights(sizes: dict[str, float | Fraction], period: int) -> dict[str, int]:
     """Weights as whole numbers, at least 1, that sum to the period: largest remainders; ties by name."""
     if not sizes:
         return {}
-    if len(sizes) > min(period, MAX_SOURCES) or period > MAX_PERIOD:
-        raise ValueError(f"{len(sizes)} sources, a period of {period}: at most {MAX_SOURCES} sources, {MAX_PERIOD} slots, and a slot for each source")
-    total, spare = sum(map(Fraction, sizes.values())), period - len(sizes)
-    exact = {s: Fraction(v) / total * spare for s, v in sizes.items()}
-    out = {s: 1 + math.floor(e) for s, e in exact.items()}
-    for s in sorted(sizes, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: period - sum(out.values())]:
+    if len(sizes) > period:
+        raise ValueError(f"{len(sizes)} sources need a period of as many slots, not {period}")
+    # sources of less than a slot have one; the others share what is left, until none of them has less
+    rest, left, out = {s: Fraction(v) for s, v in sizes.items()}, period, {}
+    while low := [s for s, v in rest.items() if v * left < total] if (total := sum(rest.values())) else list(rest):
+        out |= dict.fromkeys(low, 1)
+        left -= len(low)
+        for s in low:
+            del rest[s]
+    exact = {s: v / total * left for s, v in rest.items()}
+    out |= {s: math.floor(e) for s, e in exact.items()} if rest else dict.fromkeys(sizes, period // len(sizes))
+    for s in sorted(rest or sizes, key=lambda s: (math.floor(exact[s]) - exact[s] if rest else 0, s))[: period - sum(out.values())]:
         out[s] += 1
-    return out
+    return {s: out[s] for s in sizes}
+
+
+def period_for(sizes: dict[str, float | Fraction], least: int | None = None) -> int:
+    """``least`` if it has a slot for each source; otherwise a period in which the weights are whole, or nearly."""
+    if least and len(sizes) <= least:
+        return least
+    need = max(PERIOD, min(SLOTS * len(sizes), max(MANY_SLOTS, 2 * len(sizes))))
+    total, common = sum(map(Fraction, sizes.values())), 1
+    for v in sizes.values() if total else ():
+        common = math.lcm(common, (Fraction(v) / total).denominator)
+        if common > MANY_SLOTS:
+            return need
+    return common * -(-(PERIOD if len(sizes) <= PERIOD else need) // common)
 
 
 def schedule(weights: dict[str, int]) -> list[tuple[str, int]]:
@@ -65,7 +89,7 @@ def schedule(weights: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None) -> DataFrame:
     """Adds ``block``, ``slot``, ``place`` and ``weight`` (of the period). The mixed order is slot, then place."""
     spark = docs.sparkSession
     own = [c for c in docs.columns if c.lower() not in ("block", "slot", "place", "weight")]
@@ -75,9 +99,11 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, block_c
 
     # at most sources * BUCKETS rows, partly summed before they are shuffled
     sums = materialize(sized.groupBy(key, bucket).agg(F.sum(n).alias("__mix_size")), "mix_sizes")
-    totals = {r[0]: r[1] for r in sums.groupBy(key).agg(F.sum("__mix_size")).limit(MAX_SOURCES + 1).collect()}
-    wanted = {k: float((targets or {}).get(None if k == "n" else k[1:], 0)) for k in totals}
-    weights = whole_weights(wanted if any(wanted.values()) else {k: float(v) ** TEMPER for k, v in totals.items()}, period)
+    totals = {r[0]: r[1] for r in sums.groupBy(key).agg(F.sum("__mix_size")).collect()}
+    wanted = {k: Fraction(str((targets or {}).get(None if k == "n" else k[1:], 0))) for k in totals}
+    wanted = wanted if any(wanted.values()) else {k: float(v) ** TEMPER for k, v in totals.items()}
+    period = period_for(wanted, period)
+    weights = whole_weights(wanted, period)
 
     before = sums.select(key, bucket, (F.sum("__mix_size").over(Window.partitionBy(key).orderBy(bucket)) - F.col("__mix_size")).alias("__mix_before"))
     inside = Window.partitionBy(key, bucket).orderBy(h, "doc_id")

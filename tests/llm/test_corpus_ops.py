@@ -1,6 +1,7 @@
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -178,6 +179,24 @@ def test_schedule_stays_within_a_block():
             assert all(abs(done[x] * 97 - w[x] * slot) < 97 for x in w)
 
 
+def test_weights_follow_the_targets():
+    assert M.whole_weights({"a": 0.9, "b": 0.1}, 1000) == {"a": 900, "b": 100}
+    many = {f"s{i}": 0.5 if i == 0 else 0.5 / 499 for i in range(500)}
+    assert M.whole_weights(many, M.period_for(many))["s0"] / M.period_for(many) == pytest.approx(0.5, abs=1e-4)
+    thirds = {"a": Fraction(1, 3), "b": Fraction(2, 3), "c": Fraction(0)}
+    assert M.period_for({s: v for s, v in thirds.items() if v}) == 1002
+    assert M.whole_weights(thirds, 1000)["c"] == 1
+    assert M.whole_weights(dict.fromkeys("abc", 0.0), 7) == {"a": 3, "b": 2, "c": 2}
+
+
+def test_more_sources_than_a_period(spark):
+    rows = [(i, "x" * (1 + i % 5), "en", f"site{i % 1500}") for i in range(3000)]
+    got = M.mix(docs(spark, rows, False), block_chars=4).collect()
+    assert len(got) == 3000 and len({r["source"] for r in got}) == 1500
+    assert len({(r["source"], r["block"]) for r in got}) == len({r["slot"] for r in got})
+    assert M.mix(docs(spark, rows, False), period=50).count() == 3000
+
+
 def test_mix_keeps_all_and_follows_the_schedule(spark):
     rows = TEXTS + [(i, "x" * (i % 7 * 10), "en", "big" if i % 3 else "small") for i in range(1000, 1400)]
     df = docs(spark, rows)
