@@ -4,7 +4,8 @@ A page becomes a sequence of tags and texts. Every word has the weight of the pl
 a link, an article or a part such as a menu encloses it), every tag a negative weight. One linear scan finds the
 contiguous run with the highest sum; its words of positive weight are the main text. A part that is known to stand beside
 the article (a menu, an advert, reader comments) counts nothing, and its words are never text, so that an
-advert inside the article neither ends the run nor gets into it.
+advert inside the article neither ends the run nor gets into it. A name never puts an article or main part itself
+beside, and names are not heeded on a page of which they leave less than one word in ``WRAPPED``: a wrapper has one then.
 
 The weights are log-odds from labelled pages: of at most ``SAMPLE_PAGES`` pages, those with the least hash, the ones whose
 markup names an article or a main part label their own words. Counts start from a prior, so that places which no
@@ -32,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.common import least_hashed
 
 SAMPLE_PAGES = 256
+#: Names are not heeded if they leave less than one in so many words.
+WRAPPED = 10
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|math|head|button)\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea)\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>",
     re.S | re.I,
@@ -46,6 +49,9 @@ WORDS = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
+#: Elements whose content is never text, inside a line or a block; what a head may hold.
+HIDDEN = frozenset("button head iframe math noscript object select svg template title".split())
+HEAD = frozenset("base basefont link meta noscript script style template title".split())
 #: Elements, and words of a class, id or role, that name something beside the article.
 ASIDE = frozenset("nav aside footer header form menu dialog figcaption-ad".split())
 ASIDE_WORDS = frozenset(
@@ -55,11 +61,11 @@ ASIDE_WORDS = frozenset(
 )
 
 
-def places(page: str | None) -> Iterator[tuple[str, str, str]]:
+def places(page: str | None, heed: bool = True) -> Iterator[tuple[str, str, str]]:
     """('tag', name, place of the element) and ('text', place, text) in page order.
 
     A place is a string of: x (inside a part beside the article), m (inside an article or main part), a (in a link),
-    then the innermost block's name.
+    then the innermost block's name. Without ``heed`` a class, id or role does not put a part beside the article.
     """
     stack: list[tuple[str, bool, bool, bool, str]] = [("", False, False, False, "body")]
     at, page = 0, page or ""
@@ -68,8 +74,15 @@ def places(page: str | None) -> Iterator[tuple[str, str, str]]:
         _, x, m, a, block = stack[-1]
         return "x" * x + "m" * m + "a" * a + ":" + block
 
+    def end_head() -> None:
+        """What a head cannot hold ends it, since its end tag may be left out."""
+        if stack[-1][0] == "head":
+            stack.pop()
+
     for t in TOKEN.finditer(page):
         if t.start() > at:
+            if not page[at : t.start()].isspace():
+                end_head()
             yield "text", place(), page[at : t.start()]
         at = t.end()
         tag = t["tag"]
@@ -84,10 +97,14 @@ def places(page: str | None) -> Iterator[tuple[str, str, str]]:
                     del stack[i:]
                     break
             continue
+        if tag == "body" or stack[-1][0] in ("head", "title") and tag not in HEAD:
+            if stack[-1][0] == "title" and stack[-2][0] == "head":
+                stack.pop()
+            end_head()
         if tag in VOID or t["attrs"].endswith("/"):
             yield "tag", tag, place()
             continue
-        if tag not in INLINE:  # a block ends an open paragraph
+        if tag not in INLINE and tag not in HIDDEN:  # a block ends an open paragraph
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
                     del stack[i:]
@@ -97,10 +114,13 @@ def places(page: str | None) -> Iterator[tuple[str, str, str]]:
         _, x, m, a, block = stack[-1]
         main = m or tag in MAIN
         named = {w for v in NAMED.findall(t["attrs"]) for w in WORDS.findall("".join(v).lower())} if t["attrs"] else ()
-        beside = tag in ASIDE and not (tag == "header" and m) or bool(ASIDE_WORDS.intersection(named)) and tag not in ("body", "html")
+        beside = tag in ASIDE and not (tag == "header" and m) or tag in HIDDEN
+        beside = beside or heed and bool(ASIDE_WORDS.intersection(named)) and tag not in ("body", "html", *MAIN)
         stack.append((tag, x or beside, main, a or tag == "a", block if tag in INLINE else tag))
         yield "tag", tag, place()
     if at < len(page):
+        if not page[at:].isspace():
+            end_head()
         yield "text", place(), page[at:]
 
 
@@ -135,8 +155,18 @@ def tag_weight(good: int = 0, bad: int = 0) -> float:
 
 
 def extract(page: str | None, weights: dict[str, dict[str, float]]) -> str:
+    """The main text. If names put nearly all of it beside the article, they name a wrapper and are not heeded."""
+    text = _extract(page, weights, True)
+    if page and len(page) > WRAPPED * len(text) and NAMED.search(page):
+        whole = _extract(page, weights, False)
+        if len(whole.split()) > WRAPPED * len(text.split()):
+            return whole
+    return text
+
+
+def _extract(page: str | None, weights: dict[str, dict[str, float]], heed: bool) -> str:
     items, scores = [], []
-    for kind, name, text in places(page):
+    for kind, name, text in places(page, heed):
         items.append((kind, name, text))
         if "x" in (text if kind == "tag" else name).split(":")[0]:
             scores.append(0.0)

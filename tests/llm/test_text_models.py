@@ -161,3 +161,18 @@ def test_html_extraction(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars").write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in H.op9_html_extraction(spark, str(tmp_path)).collect())
     assert got == [(0, "plain", 5), (1, WANT, len(WANT)), (1, WANT, len(WANT)), (2, "", 0), (3, "", 0)]
+
+
+def test_html_open_heads_and_named_wrappers():
+    weights = H.train([PAGE % ("<article>", "</article>")] * 5)
+    text = "Some words of the article stand here and go on for a while."
+    for page in (
+        f"<html><head><title>x</title><body><article><p>{text}</article>",
+        f"<html><head><meta charset=utf-8><title>x</title><p>{text}</p>",
+        f"<article><p>Some words <svg/> of the article <object data=x /> stand here<svg><path d=1><title>t</title></svg> and go on for a while.</p></article>",
+        f"<article><p>Some words <button>no</button>of the article <svg><g>stand here</p><p>and go on for a while.</p></article>".replace("<svg><g>stand here", "stand here <svg><g>"),
+        f"<article class='post comments-open'><p>{text}</p></article>",
+        f"<div class='content no-sidebar'><p>{text}</p></div>",
+        f"<div class='content no-sidebar'><article><p>{text}</p></article></div>",
+    ):
+        assert H.extract(page, weights) == text, page
