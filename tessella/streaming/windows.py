@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values: (seconds, requests) of each horizon of the limiter.
@@ -44,14 +45,29 @@ def _accept(times: list[float], log: list[float], limits=LIMITS) -> list[bool]:
 def rate_limit(events: DataFrame, limits=LIMITS) -> DataFrame:
     """(key, ts, id) of a table to the same and ``accepted``; a key's events in order of time and id.
 
-    Whether one passes depends on all before it, so a key is one group; its state is at most the largest limit.
+    Whether one passes depends on those accepted within the longest horizon before it. A pause of that length therefore
+    begins a new group. A group is sorted by Spark and streamed through one task, whose state is the log of accepted
+    requests alone: at most the largest limit. A null ts is not judged.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "id"], ignore_index=True)
-        return rows.assign(accepted=_accept([t.timestamp() for t in rows["ts"]], [], limits))
-
-    return events.select("key", "ts", "id").groupBy("key").applyInPandas(run, "key long, ts timestamp, id long, accepted boolean")
+    longest = max(s for s, _ in limits)
+    at = F.unix_micros("ts")
+    order = Window.partitionBy("key").orderBy("ts", "id")
+    begins = F.coalesce(at - F.lag(at).over(order) >= longest * 1_000_000, F.lit(False)).cast("long")
+    runs = events.select("key", F.col("ts").cast("timestamp").alias("ts"), "id").withColumn("__begins", begins).withColumn("__run", F.sum("__begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, log = None, []
+        for batch in batches:
+            keys, at, number = (batch.column(i).to_pylist() for i in (0, 3, 4))
+            accepted = []
+            for key, t, n in zip(keys, at, number, strict=True):
+                if (key, n) != group:
+                    group, log = (key, n), []
+                accepted += _accept([t / 1_000_000], log, limits) if t is not None else [None]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(accepted, pa.bool_())], ["key", "ts", "id", "accepted"])
+
+    dealt = runs.select("key", "ts", "id", at.alias("__at"), "__run").repartition("key", "__run").sortWithinPartitions("key", "__run", "ts", "id")
+    return dealt.mapInArrow(run, "key long, ts timestamp, id long, accepted boolean")
 
 
 def rate_limit_stream(events: DataFrame, limits=LIMITS, late: str = "1 hour") -> DataFrame:

@@ -84,3 +84,23 @@ def test_batch_and_stream_agree(spark, tmp_path):
     assert spark.table("bursts").count() == windows.typing_bursts(df, "1 minute", "30 seconds", 3).count() == 2
     assert {(r["key"], r["n"]) for r in spark.table("months").collect()} == {(1, 5), (2, 2)}
     assert {(r["key"], r["n"]) for r in windows.sessions(df, "1 minute").collect()} == {(1, 5), (2, 1)}
+
+
+def test_rate_limit_streams_each_key(spark):
+    """No group of a key is one frame, and pauses of the longest horizon change nothing."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, limits = random.Random(4), ((5, 2), (20, 4))
+    rows, at = [], 0
+    for i in range(600):
+        at += rng.choice((0, 1, 1, 2, 3, 19, 20, 21)) if i % 7 == 0 else rng.randrange(3)
+        rows.append((i % 3 % 2, datetime(2024, 1, 1) + timedelta(seconds=at), i))
+    df = windows.rate_limit(spark.createDataFrame(rows, "key long, ts timestamp, id long").repartition(5), limits)
+    assert "InPandas" not in df._jdf.queryExecution().toString()
+    want, logs = {}, {}
+    for key, ts, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        log = logs.setdefault(key, [])
+        want[i] = all(sum((ts - x).total_seconds() < s for x in log) < n for s, n in limits)
+        log += [ts] * want[i]
+    assert {r["id"]: r["accepted"] for r in df.collect()} == want
