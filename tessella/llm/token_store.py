@@ -13,23 +13,28 @@ shards before it. One document is read with the footer, its index entry and its
 serialized ids of at most ``SAMPLE_DOCS`` documents, those with the least hash, and lies beside the shards; a reader
 refuses a dictionary whose hash differs.
 
-Ids come from the tokenizers library, which encodes each distinct word once in a worker; tests hold them equal to those
-of whole texts.
+Ids come from the tokenizers library as the file sets it up, with ``add_special_tokens=False``. The file's own pattern
+begins a new word at every space before another character, so a text is cut there and each distinct part encoded once:
+all new parts of a batch go to the library as one text, in which a part's first id is the only one that begins with a
+space. Tests hold the ids equal to the library's for whole texts.
 
 A shard is written under a temporary name and moved, so that a task which runs twice leaves one whole file.
 
 Defined results: a null text is an empty one and has the end id alone. A null doc_id comes first. Rows that share a
-doc_id are separate documents, the one with fewer ids first. An empty table gives no shards. Other columns are ignored.
-Texts that contain a control string are encoded as ordinary text.
+doc_id are separate documents, in the order of a hash of their ids; a doc_id of many rows spans shards. An empty table
+gives no shards. Other columns are ignored. A control string in a text gets the id that the file gives it. The dictionary
+sees the first ``SAMPLE_CHARS`` characters of a sampled text (texts are encoded whole); where the sample is too small to
+train on, it is empty.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,52 +49,110 @@ MAGIC = b"TSLTOK01"
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u4"), ("offset", "<u8"), ("size", "<u4")])
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Words that a worker remembers in each of two generations, and their most characters.
-WORDS, WORD_CHARS = 1 << 17, 64
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 512, 8_192, 65_536, 3
+#: Parts of texts that a worker remembers in each of two generations, and their most characters.
+PARTS, PART_CHARS = 1 << 18, 64
+#: Characters of texts that are encoded at once; new parts that go to the library at once.
+AT_ONCE, NEW = 1 << 23, 4096
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 512, 32_768, 65_536, 3
+_NONE = np.iinfo(np.int64).min
 
 
-class Words(dict):
-    """Ids of each distinct word of the file's own pattern, encoded once by the tokenizers library. The library never
-    merges across words, so a text's ids are those of its words. Memory is bounded: two generations of ``WORDS`` short
-    words; longer words are encoded each time."""
-
-    def __init__(self, path: str, pattern: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.library, self.split, self.old = Tokenizer.from_file(path), regex.compile(pattern).findall, {}
-        self.library.encode_special_tokens = True
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.old.get(word) or tuple(self.library.encode(word, add_special_tokens=False).ids)
-        if len(word) <= WORD_CHARS:
-            if len(self) >= WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-_encoders: dict[str, Words] = {}
+class Encoder:
+    """Ids of texts as bytes (unsigned 32-bit, little-endian), by the library. Memory is bounded: two generations of
+    ``PARTS`` short parts; longer parts are encoded each time."""
 
+    #: A space that begins no word of its own, since white space or the end follows; and one that does.
+    ODD, CUT = re.compile(r" (?:\s|\Z)"), re.compile(r" (?=\S)")
+    #: Letters and one mark after them, which the pattern parts.
+    MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?])")
 
-def ids_of(text: str | None, path: str, pattern: str) -> np.ndarray:
-    words = _encoders.get(path)
-    if words is None:
-        words = _encoders[path] = Words(path, pattern)
-    return np.fromiter(chain(chain.from_iterable(map(words.__getitem__, words.split(text or ""))), (END_ID,)), "<u4")
-
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def train_dictionary(docs: DataFrame, path: str, pattern: str) -> bytes:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library = Tokenizer.from_file(path)
+        words = self.library.get_vocab()
+        self.begins = np.zeros(max(words.values()) + 1, bool)
+        self.begins[[i for w, i in words.items() if w.startswith("Ġ")]] = True
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.marks = {m: self.plain([m])[0] for m in ".,;:!?"}
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spaced(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without a space, each after a space."""
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        at, data = (np.flatnonzero(self.begins[ids]) * 4).tolist(), ids.tobytes()
+        if len(at) != len(parts):  # a part that holds a control string with a space, as no known file has
+            return self.plain([" " + p for p in parts])
+        return [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)]
+
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of all these parts, each after a space."""
+        now, old = self.now, self.old
+        for p in self.long:
+            now.pop(p, None)
+        if len(now) >= PARTS:
+            old, now = self.old, self.now = now, {}
+        new = parts - now.keys()
+        for p in new & old.keys():
+            now[p] = old[p]
+        new -= old.keys()
+        marked = {p: m for p in new if (m := self.MARKED.fullmatch(p))}
+        whole = list((new - marked.keys()) | ({m[1] for m in marked.values()} - now.keys()))
+        found: dict[str, bytes] = {}
+        joined = [p for p in whole if " " not in p]
+        for i in range(0, len(joined), NEW):
+            found.update(zip(joined[i : i + NEW], self.spaced(joined[i : i + NEW]), strict=True))
+        others = [p for p in whole if " " in p]
+        found.update(zip(others, self.plain([" " + p for p in others]), strict=True))
+        now.update(found)
+        for p, m in marked.items():
+            now[p] = now[m[1]] + self.marks[m[2]]
+        self.long = [p for p in (*whole, *marked) if len(p) > PART_CHARS]
+        return now
+
+    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text, with the end id."""
+        end = np.array([END_ID], "<u4").tobytes()
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size < AT_ONCE):
+                size += len(texts[to] or "")
+                to += 1
+            cut = [self.CUT.split(t) if self.ODD.search(t) else t.split(" ") for t in (x or "" for x in texts[at:to])]
+            known = self.learn({p for c in cut for p in c[1:]})
+            for first, c in zip(self.plain([c[0] for c in cut]), cut, strict=True):
+                yield first + b"".join(map(known.__getitem__, c[1:])) + end
+            at = to
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def ids_of(text: str | None, path: str) -> np.ndarray:
+    """The ids of one text, with the end id."""
+    return np.frombuffer(next(encoder(path).batch([text])), "<u4")
+
+
+def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary from a bounded sample; empty if the sample is too small to train on."""
     import zstandard
 
     least = least_hashed(docs.filter("text IS NOT NULL").select("doc_id", "text"), "doc_id", SAMPLE_DOCS, 6)
-    rows = least.select("__h", "doc_id", F.substr("text", F.lit(1), F.lit(4 * SAMPLE_IDS)).alias("t")).orderBy("__h", "doc_id", "t").limit(SAMPLE_DOCS).collect()
-    samples = [ids_of(r["t"], path, pattern)[:SAMPLE_IDS].tobytes() for r in rows]
+    rows = least.select("__h", "doc_id", F.substr("text", F.lit(1), F.lit(SAMPLE_CHARS)).alias("t")).orderBy("__h", "doc_id", "t").limit(SAMPLE_DOCS).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, list(encoder(path).batch([r["t"] for r in rows]))).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -101,9 +164,14 @@ def _tools(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True), zstandard.ZstdDecompressor(dict_data=shared)
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI that Arrow knows: file, hdfs, viewfs, s3, gs, abfs, abfss; Spark's s3a is Arrow's s3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
 def write_file(path: str, chunks) -> None:
     """Write to a file system by URI under another name, then move it into place."""
-    fs, at = pafs.FileSystem.from_uri(path)
+    fs, at = file_system(path)
     own = f"{at}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(own) as out:
         for chunk in chunks:
@@ -111,21 +179,30 @@ def write_file(path: str, chunks) -> None:
     fs.move(own, at)
 
 
-def write_store(docs: DataFrame, root: str, path: str, pattern: str) -> DataFrame:
+def write_store(docs: DataFrame, root: str, path: str) -> DataFrame:
     """Writes all documents; returns the manifest: shard, path, n_docs, n_tokens, first (ids of all shards before)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dictionary = train_dictionary(docs, path, pattern)
-    fs, at = pafs.FileSystem.from_uri(root)
+    dictionary = train_dictionary(docs, path)
+    fs, at = file_system(root)
     fs.create_dir(at, recursive=True)
     write_file(f"{root}/dictionary", [dictionary])
 
+    # the bounds of the ranges come from the ids alone, a sketch of bounded size; an id of many rows is several bounds
+    cuts = docs.select(F.percentile_approx(F.coalesce("doc_id", F.lit(_NONE)), [i / shards for i in range(1, shards)], 10_000)).first()[0] if shards > 1 else []
+    cuts = np.sort(np.array(cuts or [], np.int64))
+
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, _ = _tools(dictionary)
+        tool, tokens = _tools(dictionary)[0], encoder(path)
         for batch in batches:
-            ids = [ids_of(t.as_py(), path, pattern) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([tool.compress(x.tobytes()) for x in ids], pa.binary())], ["doc_id", "n", "frame"])
+            ids = list(tokens.batch(batch.column(1).to_pylist()))
+            n, crc = np.array([len(x) // 4 for x in ids], np.int64), np.array([zlib.crc32(x) for x in ids], np.int64)
+            doc = batch.column(0).fill_null(_NONE).to_numpy()
+            low = np.searchsorted(cuts, doc)
+            place = low + (np.searchsorted(cuts, doc, "right") - low) * crc // (1 << 32)
+            frames = pa.array([tool.compress(x) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place.astype(np.int32)), pa.array(n), pa.array(crc), frames], ["doc_id", "place", "n", "crc", "frame"])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
@@ -138,7 +215,7 @@ def write_store(docs: DataFrame, root: str, path: str, pattern: str) -> DataFram
                 n, frames = batch.column(1).to_numpy(), batch.column(2).to_pylist()
                 size = np.array([len(f) for f in frames], np.int64)
                 rows = np.zeros(len(frames), INDEX)
-                rows["doc_id"], rows["n_tokens"], rows["size"] = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), n, size
+                rows["doc_id"], rows["n_tokens"], rows["size"] = batch.column(0).fill_null(_NONE).to_numpy(), n, size
                 rows["start"], rows["offset"] = done["tokens"] + np.cumsum(n) - n, done["offset"] + np.cumsum(size) - size
                 index.append(rows)
                 done["docs"], done["tokens"], done["offset"] = done["docs"] + len(frames), done["tokens"] + int(n.sum()), done["offset"] + int(size.sum())
@@ -152,12 +229,8 @@ def write_store(docs: DataFrame, root: str, path: str, pattern: str) -> DataFram
         write_file(name, chunks())
         yield pa.RecordBatch.from_pylist([{"shard": number, "path": name, "n_docs": done["docs"], "n_tokens": done["tokens"]}])
 
-    # the bounds of the ranges come from the ids alone: a sketch of bounded size
-    cuts = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10_000)).first()[0] if shards > 1 else []
-    cuts = sorted(set(cuts or []))
-    place = F.coalesce(F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda a, c: a + F.when(F.col("doc_id") > c, 1).otherwise(0)), F.lit(0)) if cuts else F.lit(0)
-    frames = docs.mapInArrow(compress, "doc_id long, n long, frame binary")
-    dealt = frames.repartitionById(len(cuts) + 1, place.cast("int")).sortWithinPartitions("doc_id", "n", "frame")
+    frames = docs.mapInArrow(compress, "doc_id long, place int, n long, crc long, frame binary")
+    dealt = frames.repartitionById(len(cuts) + 1, F.col("place")).sortWithinPartitions("doc_id", "crc", "frame").select("doc_id", "n", "frame")
     rows = dealt.mapInArrow(shard, "shard long, path string, n_docs long, n_tokens long").collect()  # a row for each shard
     out, first = [], 0
     for r in sorted(rows, key=lambda r: r["shard"]):
@@ -168,7 +241,7 @@ def write_store(docs: DataFrame, root: str, path: str, pattern: str) -> DataFram
 
 def open_shard(path: str, dictionary: bytes):
     """(file, index) of a shard."""
-    fs, at = pafs.FileSystem.from_uri(path)
+    fs, at = file_system(path)
     f = fs.open_input_file(at)
     foot = 32 + 16 + len(MAGIC)
     tail = f.read_at(foot, f.size() - foot)
@@ -179,7 +252,7 @@ def open_shard(path: str, dictionary: bytes):
 
 
 def read_dictionary(root: str) -> bytes:
-    fs, at = pafs.FileSystem.from_uri(f"{root}/dictionary")
+    fs, at = file_system(f"{root}/dictionary")
     with fs.open_input_file(at) as f:
         return f.read()
 
@@ -207,7 +280,7 @@ def read_store(manifest: DataFrame, root: str) -> DataFrame:
                     part = index[at : at + 4096]
                     crc = [zlib.crc32(tool.decompress(f.read_at(int(x["size"]), int(x["offset"])))) for x in part]
                     ids = part["doc_id"].astype(np.int64)
-                    cols = [pa.array(ids, mask=ids == np.iinfo(np.int64).min), pa.array(part["start"].astype(np.int64) + r["first"]), pa.array(part["n_tokens"].astype(np.int64)), pa.array(crc, pa.int64()), pa.array(part["size"].astype(np.int64))]
+                    cols = [pa.array(ids, mask=ids == _NONE), pa.array(part["start"].astype(np.int64) + r["first"]), pa.array(part["n_tokens"].astype(np.int64)), pa.array(crc, pa.int64()), pa.array(part["size"].astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "n_bytes"])
 
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -218,5 +291,5 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     root = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    manifest = write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), root, public.path(VOCABULARY), public.PATTERN)
+    manifest = write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), root, public.path(VOCABULARY))
     return read_store(manifest, root).select("doc_id", "start", "n_tokens", "ids_crc32", "n_bytes")

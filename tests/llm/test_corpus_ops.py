@@ -273,7 +273,6 @@ def test_store_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(public.path(T.VOCABULARY))
-    tk.encode_special_tokens = True
     rows = TEXTS + [(60, "<|endoftext|> it's   'll\n\n x ", "en", "a"), (-5, "first", "en", "a")]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in T.op6_token_store(spark, str(tmp_path)).collect())
@@ -288,27 +287,51 @@ def test_store_round_trip(spark, tmp_path):
 def test_one_document_is_read_and_dictionaries_are_checked(spark, tmp_path):
     path, root = public.path(T.VOCABULARY), f"file://{tmp_path}/store"
     rows = [(i, f"some text {i} " * 20, "en", "a") for i in range(200)]
-    manifest = T.write_store(docs(spark, rows), root, path, public.PATTERN)
+    manifest = T.write_store(docs(spark, rows), root, path)
     shards = manifest.collect()
     found = [x for r in shards if (x := T.read_document(root, r, 77)) is not None]
-    assert len(found) == 1 and (found[0] == T.ids_of(rows[77][1], path, public.PATTERN)).all()
+    assert len(found) == 1 and (found[0] == T.ids_of(rows[77][1], path)).all()
     assert T.read_dictionary(root)
     with pytest.raises(ValueError):
         T.open_shard(shards[0]["path"], b"another")
-    empty = T.write_store(docs(spark, []), f"{root}-empty", path, public.PATTERN)
+    empty = T.write_store(docs(spark, []), f"{root}-empty", path)
     assert T.read_store(empty, f"{root}-empty").count() == 0
 
 
+def test_an_id_of_many_rows_spans_shards(spark, tmp_path):
+    path, root = public.path(T.VOCABULARY), f"file://{tmp_path}/store"
+    rows = [(7 if i % 3 else i, f"some text {i} " * (i % 9), "en", "a") for i in range(400)] + [(None, f"no id {i}", "en", "a") for i in range(300)]
+    manifest = T.write_store(docs(spark, rows), root, path).collect()
+    assert len(manifest) == 4 and max(r["n_docs"] for r in manifest) < 350
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in T.read_store(spark.createDataFrame(manifest), root).collect())
+    ids = sorted(((i if i is not None else -1), zlib.crc32(x.tobytes()), len(x)) for i, t, *_ in rows if (x := T.ids_of(t, path)) is not None)
+    at = 0
+    for (start, i, n, crc), (j, c, m) in zip(got, ids, strict=True):
+        assert (start, -1 if i is None else i, crc, n) == (at, j, c, m)
+        at += n
+
+
+def test_encoder_forgets_and_still_agrees(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(T, "PARTS", 20)
+    monkeypatch.setattr(T, "AT_ONCE", 200)
+    tk, own = Tokenizer.from_file(public.path(T.VOCABULARY)), T.Encoder(public.path(T.VOCABULARY))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["water", "Water.", "x" * 90, "a\nb", "", "river,", "<|endoftext|>", f"n{i % 7}"]) for _ in range(12)) for i in range(300)] + [None]
+    assert [np.frombuffer(b, "<u4")[:-1].tolist() for b in own.batch(texts)] == [tk.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(own.now) < 200 and not any(len(p) > T.PART_CHARS for p in own.now.keys() - set(own.long))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_ids_equal_the_tokenizers_library(seed):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(public.path(T.VOCABULARY))
-    tk.encode_special_tokens = True
     rng = random.Random(seed)
     for _ in range(300):
         t = "".join(rng.choice(" \n\t aAbé漢<|endoftext|>\0‍\U0001f600'sre \xa0ß12") for _ in range(rng.randrange(25)))
-        assert T.ids_of(t, public.path(T.VOCABULARY), public.PATTERN)[:-1].tolist() == tk.encode(t, add_special_tokens=False).ids
+        assert T.ids_of(t, public.path(T.VOCABULARY))[:-1].tolist() == tk.encode(t, add_special_tokens=False).ids
 
 
 # ---- pipeline
