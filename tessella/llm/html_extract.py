@@ -1,22 +1,28 @@
 """Operator 9, HTML extraction: the maximum-scoring contiguous run of a page.
 
-A page becomes a sequence of tags and texts. Every word has the weight of the place where it stands (its block, whether
-a link, an article or a part such as a menu encloses it), every tag a negative weight. One linear scan finds the
-contiguous run with the highest sum; its words of positive weight are the main text. A part that is known to stand beside
-the article (a menu, an advert, reader comments) counts nothing, and its words are never text, so that an
-advert inside the article neither ends the run nor gets into it. A name never puts an article or main part itself
-beside, and names are not heeded on a page of which they leave less than one word in ``WRAPPED``: a wrapper has one then.
-
-The weights are log-odds from labelled pages: of at most ``SAMPLE_PAGES`` pages, those with the least hash, the ones whose
-markup names an article or a main part label their own words. Counts start from a prior, so that places which no
-labelled page shows have a sensible weight.
+A page becomes units of text with the tags between them. Each word of a unit has the weight of the place where it
+stands, each tag a negative weight, and one linear scan finds the contiguous run with the highest sum; its units of
+positive weight are the main text. What scores negative between two positive units (an advert in the article, a long
+menu) costs at most ``GAP`` words, so that it does not end the run by its length alone.
+
+The weights come from labelled pages, at most ``SAMPLE_PAGES`` with the least hash, of which the first ``SAMPLE_CHARS``
+characters are read. Labels say nothing of names: a block is dense if it has ``DENSE`` words and few links, or if it
+repeats the page's title; the contiguous run of blocks with the most dense words is the labelled content. A logistic
+regression, held towards priors, learns what a word's place says: its innermost block element, the innermost element or
+name around it that says something (article, nav, a class such as ``ad``), whether its block is mostly links and whether
+it is long. Names that a sample shows to stand beside the content are learned with them. Tags get the log-odds of
+standing outside the content.
+
+Names lower a weight and never decide alone: only a whole class, id or role counts (``comments`` or ``comments-area``,
+not ``comments-open``), and if names put a longer article or main part beside than what is left, or nearly all of a
+page, they name a wrapper and are not heeded on it.
 
 Text: character references decoded, white space inside a block one space, blocks in page order joined by one space.
 Scripts, styles and comments are never text. An inline tag does not separate words, any other does.
 
 Defined results: a null or empty page, and one without a positive word, give an empty text with 0 characters. Repeated
 rows get equal results. An empty table gives an empty result. Other columns are ignored. Unclosed tags, quotes and
-comments are tolerated; long pages are read whole.
+comments are tolerated; long pages are read whole, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -24,182 +30,340 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.common import least_hashed
 
-SAMPLE_PAGES = 256
-#: Names are not heeded if they leave less than one in so many words.
+SAMPLE_PAGES, SAMPLE_CHARS = 256, 65_536
+#: Words from which a block is dense, and the most that one block without them costs the labelled run.
+DENSE, LOOSE = 25, 10
+#: What the scan loses at most between two units of positive weight, in words.
+GAP = 20.0
+#: Names are not heeded if they leave less than one word in so many.
 WRAPPED = 10
+#: A name is learned from so many words on so many pages.
+NAME_WORDS, NAME_PAGES = 50, 5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|textarea)\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>",
+    r"|<[!?][^<>]*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+)>",
     re.S | re.I,
 )
-NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORDS = re.compile(r"[a-z]+")
-#: Elements that stand inside a line of text; that have no end tag; that hold the main part.
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements that stand inside a line of text; that have no end tag, and of those the ones inside a line.
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark math q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MAIN = frozenset(("article", "main"))
-#: Elements whose content is never text, inside a line or a block; what a head may hold.
-HIDDEN = frozenset("button head iframe math noscript object select svg template title".split())
+IN_LINE_VOID = frozenset("br embed img input wbr".split())
+#: Elements whose content is never text; what a head may hold.
+HIDDEN = frozenset("button head iframe noscript object select svg template title".split())
 HEAD = frozenset("base basefont link meta noscript script style template title".split())
-#: Elements, and words of a class, id or role, that name something beside the article.
-ASIDE = frozenset("nav aside footer header form menu dialog figcaption-ad".split())
-ASIDE_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer form header login masthead menu modal"
+#: Elements that hold the main part, and elements that stand beside it.
+MAIN = frozenset(("article", "main"))
+BESIDE = frozenset("aside dialog footer form header menu nav".split())
+#: Fixed values, the prior of names: what a part beside the content is called, and words that add nothing to such a name.
+NAMES = frozenset(
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header login masthead menu modal"
     " nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted recommended related remark replies reply respond search share sharing sidebar signup social sponsor"
     " sponsored subscribe subscription teaser toolbar widget".split()
 )
-
-
-def places(page: str | None, heed: bool = True) -> Iterator[tuple[str, str, str]]:
-    """('tag', name, place of the element) and ('text', place, text) in page order.
-
-    A place is a string of: x (inside a part beside the article), m (inside an article or main part), a (in a link),
-    then the innermost block's name. Without ``heed`` a class, id or role does not put a part beside the article.
-    """
-    stack: list[tuple[str, bool, bool, bool, str]] = [("", False, False, False, "body")]
-    at, page = 0, page or ""
-
-    def place() -> str:
-        _, x, m, a, block = stack[-1]
-        return "x" * x + "m" * m + "a" * a + ":" + block
+PLAIN = frozenset("area bar block body bottom box buttons container content form global group inner item items left links list main message module page panel primary right secondary section site slot strip thread top unit wrap wrapper".split())
+
+#: Prior means of the regression by kind of feature, its precision, and how many words the labelled ones count as in all.
+PRIOR = {"main": 3.0, "beside": -6.0, "linked": -3.0, "long": 2.0, "p": 1.0, "heading": 1.0}
+PRECISION, EVIDENCE = 0.25, 2000
+
+
+@dataclass
+class Unit:
+    """A stretch of text in one block and place, and the tags since the one before."""
+
+    block: str
+    mark: str
+    tags: list[str]
+    main: int = 0
+    texts: list[str] = field(default_factory=list)
+    words: int = 0
+    linked: int = 0
+
+
+@dataclass
+class Weights:
+    place: dict[str, float]
+    tag: dict[str, float]
+    names: frozenset[str]
+
+
+def names_of(attrs: str) -> list[str]:
+    return [w for v in NAMED.findall(attrs) for w in "".join(v).lower().split()] if "=" in attrs else []
+
+
+def beside_name(name: str, learned: frozenset[str] = frozenset()) -> str | None:
+    """The word for which a name stands beside the content; of a name of several words all must say so or nothing."""
+    if name in learned:
+        return name
+    parts = [p for p in re.split(r"[^a-z]+", name) if p]
+    said = [p for p in parts if p in NAMES]
+    return said[0] if said and all(p in NAMES or p in PLAIN for p in parts) else None
+
+
+def units(page: str | None, learned: frozenset[str] = frozenset(), heed: bool = True, each_name=None) -> Iterator[Unit]:
+    """The units of a page in order. ``mark`` is the innermost element or name that says something of the place: an
+    element of MAIN or BESIDE, or a dot and a name; inside a part that stands beside, that of the part. ``main`` numbers
+    the elements of MAIN in or at a part that a name puts beside. Without ``heed`` names say nothing. ``each_name`` gets the names around each unit."""
+    page = page or ""
+    # an entry: tag, hidden, mark, number of the main element, in a link, block, index of the paragraph that a block would
+    # end, in a main element, names
+    stack: list[tuple] = [("", False, "", 0, False, "body", -1, False, ())]
+    opened: Counter[str] = Counter()
+    at, mains, tags = 0, 0, []
+    unit: Unit | None = None
+    done: list[Unit] = []
+
+    def text(part: str) -> None:
+        nonlocal unit, tags
+        _, hidden, mark, main, linked, block, _, _, names = stack[-1]
+        if hidden:
+            return
+        n = len(part.split())
+        if unit is None or (unit.mark, unit.main) != (mark, main) and n:
+            if not n:
+                return
+            if unit is not None:
+                done.append(unit)
+            unit, tags = Unit(block, mark, tags, main), []
+            if each_name:
+                each_name(unit, names)
+        unit.texts.append(part)
+        unit.words += n
+        unit.linked += n * linked
+
+    def pop(i: int) -> None:
+        for entry in stack[i:]:
+            opened[entry[0]] -= 1
+        del stack[i:]
 
     def end_head() -> None:
         """What a head cannot hold ends it, since its end tag may be left out."""
         if stack[-1][0] == "head":
-            stack.pop()
+            pop(len(stack) - 1)
 
     for t in TOKEN.finditer(page):
         if t.start() > at:
-            if not page[at : t.start()].isspace():
+            if stack[-1][0] == "head" and not page[at : t.start()].isspace():
                 end_head()
-            yield "text", place(), page[at : t.start()]
+            text(page[at : t.start()])
         at = t.end()
-        tag = t["tag"]
-        if not tag:
-            yield "tag", (t["raw"] or "!").lower(), place()
+        name = t["tag"]
+        if not name:
             continue
-        tag = tag.lower()
+        name = name.lower()
+        tags.append(name)
+        inline = name in INLINE or name in IN_LINE_VOID
+        if not inline and unit is not None:
+            done.append(unit)
+            unit = None
+        elif name in IN_LINE_VOID and unit is not None:
+            unit.texts.append(" ")
+        if done:
+            yield from done
+            done.clear()
         if t["end"]:
-            yield "tag", tag, place()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened[name] > 0:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                pop(i)
             continue
-        if tag == "body" or stack[-1][0] in ("head", "title") and tag not in HEAD:
+        if name == "body" or stack[-1][0] in ("head", "title") and name not in HEAD:
             if stack[-1][0] == "title" and stack[-2][0] == "head":
-                stack.pop()
+                pop(len(stack) - 1)
             end_head()
-        if tag in VOID or t["attrs"].endswith("/"):
-            yield "tag", tag, place()
+        attrs = t["attrs"]
+        if name in VOID or attrs.endswith("/"):
             continue
-        if tag not in INLINE and tag not in HIDDEN:  # a block ends an open paragraph
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        _, x, m, a, block = stack[-1]
-        main = m or tag in MAIN
-        named = {w for v in NAMED.findall(t["attrs"]) for w in WORDS.findall("".join(v).lower())} if t["attrs"] else ()
-        beside = tag in ASIDE and not (tag == "header" and m) or tag in HIDDEN
-        beside = beside or heed and bool(ASIDE_WORDS.intersection(named)) and tag not in ("body", "html", *MAIN)
-        stack.append((tag, x or beside, main, a or tag == "a", block if tag in INLINE else tag))
-        yield "tag", tag, place()
+        if not inline and name not in HIDDEN and stack[-1][6] > 0:  # a block ends an open paragraph
+            pop(stack[-1][6])
+        _, hidden, mark, main, linked, block, para, within, names = stack[-1]
+        own = names_of(attrs)
+        said = next((b for n in own if (b := beside_name(n, learned))), None) if heed and name not in ("body", "html", "main") else None
+        if not (mark[:1] == "." or mark in BESIDE):
+            if said:
+                mark = "." + said
+            elif name in MAIN or name in BESIDE and not (name == "header" and within):
+                mark = name
+        if name in MAIN:
+            mains, within = mains + 1, True
+            main = mains if mark[:1] == "." else 0
+        para = len(stack) if name == "p" else para if name in INLINE else -1
+        stack.append((name, hidden or name in HIDDEN, mark, main, linked or name == "a", block if name in INLINE else name, para, within, (*names, *own) if each_name else ()))
+        opened[name] += 1
     if at < len(page):
-        if not page[at:].isspace():
+        if stack[-1][0] == "head" and not page[at:].isspace():
             end_head()
-        yield "text", place(), page[at:]
-
-
-def train(pages: list[str]) -> dict[str, dict[str, float]]:
-    """Weights of words by place, and of tags by name."""
-    word_in, word_out, tag_in, tag_out = Counter(), Counter(), Counter(), Counter()
-    for page in pages:
-        items = list(places(page))
-        label = [kind == "text" and "m" in name.split(":")[0] and "x" not in name.split(":")[0] for kind, name, _ in items]
-        if not any(label):
+        text(page[at:])
+    yield from done
+    if unit is not None:
+        yield unit
+
+
+def features(u: Unit) -> list[str]:
+    """What a unit's place says. Beside the content a long block says nothing for itself, in an article links nothing against."""
+    beside = u.mark[:1] == "." or u.mark in BESIDE
+    out = ["all", f"block {u.block}"]
+    if u.mark:
+        out.append(f"mark {u.mark}")
+    if 2 * u.linked > u.words:
+        out += [] if u.mark in MAIN else ["linked"]
+    elif u.words >= DENSE and not beside:
+        out.append("long")
+    return out
+
+
+def prior(name: str) -> float:
+    kind, _, value = name.partition(" ")
+    if kind == "mark":
+        return PRIOR["main"] if value in MAIN else PRIOR["beside"]
+    if kind == "block":
+        return PRIOR["p"] if value == "p" else PRIOR["heading"] if re.fullmatch("h[1-6]", value) else 0.0
+    return PRIOR.get(kind, 0.0)
+
+
+TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
+
+
+def labels(page: str, found: list[Unit]) -> list[bool]:
+    """By density and the title alone: which units belong to the page's content. All False if there is no dense one."""
+    m = TITLE.search(page)
+    title = html.unescape(m[1]).split() if m else []
+    gain = []
+    for u in found:
+        own = html.unescape("".join(u.texts)).split()
+        repeats = len(own) >= 3 and len(title) >= 3 and (own == title[: len(own)] or title == own[: len(title)])
+        gain.append(u.words if repeats or u.words >= DENSE and 4 * u.linked <= u.words else -1 - min(u.words, LOOSE))
+    first, last = best_run(gain)
+    return [first <= i < last and 2 * u.linked <= u.words for i, u in enumerate(found)]
+
+
+def best_run(gain: list[float]) -> tuple[int, int]:
+    """[first, last) of the contiguous run with the greatest positive sum; of equal ones the first. Empty if none."""
+    best = total = 0.0
+    start, run = 0, (0, 0)
+    for i, g in enumerate(gain):
+        if total <= 0:
+            total, start = 0.0, i
+        total += g
+        if total > best:
+            best, run = total, (start, i + 1)
+    return run
+
+
+def train(pages: list[str]) -> Weights:
+    """Weights of places, tags, and names that stand beside the content."""
+    inside, outside, on = Counter(), Counter(), defaultdict(set)
+    labelled = []
+    for k, page in enumerate(pages):
+        around: list[tuple] = []
+        found = list(units(page, each_name=lambda u, names: around.append(names)))  # noqa: B023
+        good = labels(page, found)
+        if not any(good):
             continue
-        first, last = label.index(True), len(label) - 1 - label[::-1].index(True)
-        for i, ((kind, name, text), good) in enumerate(zip(items, label, strict=True)):
-            if kind == "text":
-                (word_in if good else word_out)[name] += len(text.split())
-            else:
-                (tag_in if first <= i <= last else tag_out)[name] += 1
-    words = {k: word_weight(k, word_in[k], word_out[k]) for k in {*word_in, *word_out}}
-    tags = {k: tag_weight(tag_in[k], tag_out[k]) for k in {*tag_in, *tag_out}}
-    return {"word": words, "tag": tags}
-
-
-def word_weight(place: str, good: int = 0, bad: int = 0) -> float:
-    flags = place.split(":")[0]
-    prior_good, prior_bad = (1, 200) if "x" in flags else (200, 1) if "m" in flags else (1, 8) if "a" in flags else (8, 2)
-    return max(-3.0, min(1.0, math.log((good + prior_good) / (bad + prior_bad))))
+        labelled.append((page, good))
+        for u, g, names in zip(found, good, around, strict=True):
+            for n in set(names):
+                (inside if g else outside)[n] += u.words
+                on[n].add(k)
+    learned = frozenset(n for n in outside if len(on[n]) >= NAME_PAGES and outside[n] >= NAME_WORDS and outside[n] > 20 * inside[n])
+    rows: Counter[tuple] = Counter()
+    tag_in, tag_out = Counter(), Counter()
+    for page, good in labelled:
+        again = list(units(page, learned))
+        good = good if len(again) == len(good) else labels(page, again)
+        for u, g in zip(again, good, strict=True):
+            rows[(*features(u), g)] += u.words
+            (tag_in if g else tag_out).update(u.tags)
+    names = sorted({f for r in rows for f in r[:-1]})
+    at = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        x[i, [at[f] for f in r[:-1]]] = 1
+    y, n = np.array([r[-1] for r in rows], float), np.array([float(c) for c in rows.values()])
+    n *= EVIDENCE / max(n.sum(), 1)
+    mean = np.array([prior(f) for f in names])
+    w = mean.copy()
+    for _ in range(30 if len(rows) else 0):  # Newton steps, held to the prior
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (n * q * (1 - q))[:, None]).T @ x + PRECISION * np.eye(len(w)), x.T @ (n * (q - y)) + PRECISION * (w - mean))
+        w -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    return Weights(dict(zip(names, w.tolist(), strict=True)), {t: tag_weight(tag_in[t], tag_out[t]) for t in {*tag_in, *tag_out}}, learned)
 
 
 def tag_weight(good: int = 0, bad: int = 0) -> float:
-    """Never positive: from a hair under 0 for tags that stand in articles to -2 for those that never do."""
+    """Never positive: from a hair under 0 for tags that stand in the content to -2 for those that never do."""
     return -max(0.001, min(2.0, math.log((bad + 1) / (good + 1))))
 
 
-def extract(page: str | None, weights: dict[str, dict[str, float]]) -> str:
-    """The main text. If names put nearly all of it beside the article, they name a wrapper and are not heeded."""
-    text = _extract(page, weights, True)
-    if page and len(page) > WRAPPED * len(text) and NAMED.search(page):
-        whole = _extract(page, weights, False)
-        if len(whole.split()) > WRAPPED * len(text.split()):
+def word_weight(u: Unit, weights: Weights) -> float:
+    return max(-3.0, min(1.0, sum(weights.place.get(f, prior(f)) for f in features(u))))
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    """The main text. If names put nearly all of it beside the content, or a longer article, they are not heeded."""
+    text, longest = _extract(page, weights, True)
+    kept = len(text.split())
+    if page and (longest > kept or len(page) > WRAPPED * len(text)) and NAMED.search(page):
+        whole, _ = _extract(page, weights, False)
+        if len(whole.split()) > (WRAPPED * kept if longest <= kept else kept):
             return whole
     return text
 
 
-def _extract(page: str | None, weights: dict[str, dict[str, float]], heed: bool) -> str:
-    items, scores = [], []
-    for kind, name, text in places(page, heed):
-        items.append((kind, name, text))
-        if "x" in (text if kind == "tag" else name).split(":")[0]:
-            scores.append(0.0)
-        elif kind == "tag":
-            weight = weights["tag"].get(name, tag_weight())
-            scores.append(max(-0.001, weight) if "m" in text.split(":")[0] else weight)
-        else:
-            scores.append(len(text.split()) * weights["word"].get(name, word_weight(name)))
-    best = total = 0.0
-    start = 0
-    run = (0, 0)
-    for i, s in enumerate(scores):
-        if total <= 0:
-            total, start = 0.0, i
-        total += s
-        if total > best:
-            best, run = total, (start, i + 1)
-    out = []
-    for (kind, name, text), s in zip(items[slice(*run)], scores[slice(*run)], strict=True):
-        if kind == "tag":
-            if name not in INLINE:
-                out.append(" ")
-        elif s > 0 or text.isspace():
-            out.append(html.unescape(text))
-    return " ".join("".join(out).split())
+def _extract(page: str | None, weights: Weights, heed: bool) -> tuple[str, int]:
+    """The text, and the words of the longest element of MAIN that stands beside the content by a name."""
+    found = list(units(page, weights.names, heed))
+    weight = [word_weight(u, weights) for u in found]
+    put_off: Counter[int] = Counter()
+    gain: list[float] = []
+    owner: list[int] = []
+    loss = 0.0
+    for i, (u, w) in enumerate(zip(found, weight, strict=True)):
+        inside = u.mark in MAIN
+        cost = sum(max(-0.001, weights.tag.get(t, -0.001)) if inside else weights.tag.get(t, tag_weight()) for t in u.tags)
+        if u.main:
+            put_off[u.main] += u.words - u.linked
+        loss = min(GAP, loss - cost - min(0.0, w * u.words))
+        if w > 0 and u.words:
+            gain += [-loss, w * u.words]
+            owner += [-1, i]
+            loss = 0.0
+    first, last = best_run(gain)
+    chosen = [k for k in owner[first:last] if k >= 0]
+    out, before = [], None
+    for k in chosen:
+        if before is not None:
+            out.append(" " if k != before + 1 or any(t not in INLINE for t in found[k].tags) else "")
+        out.append(html.unescape("".join(found[k].texts)))
+        before = k
+    return " ".join("".join(out).split()), max(put_off.values(), default=0)
 
 
 def training_pages(pages: DataFrame) -> list[str]:
     least = least_hashed(pages.filter("html IS NOT NULL").select("page_id", "html"), "page_id", SAMPLE_PAGES, 9)
-    return [r["html"] for r in least.orderBy("__h", "page_id", "html").limit(SAMPLE_PAGES).collect()]
+    piece = F.substr("html", F.lit(1), F.lit(SAMPLE_CHARS)).alias("piece")
+    return [r["piece"] for r in least.select("__h", "page_id", piece).orderBy("__h", "page_id", "piece").limit(SAMPLE_PAGES).collect()]
 
 
-def extract_main(pages: DataFrame, weights: dict[str, dict[str, float]]) -> DataFrame:
+def extract_main(pages: DataFrame, weights: Weights) -> DataFrame:
     """page_id, url, text, n_chars; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
