@@ -35,9 +35,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -51,18 +53,22 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Parts of texts that a worker remembers in each of two generations, and their most characters.
 PARTS, PART_CHARS = 1 << 18, 64
-#: Characters of texts that are encoded at once; new parts that go to the library at once.
-AT_ONCE, NEW = 1 << 23, 4096
+#: Bytes of texts that are encoded at once; new parts that go to the library at once.
+AT_ONCE, NEW = 1 << 22, 4096
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 512, 32_768, 65_536, 3
 _NONE = np.iinfo(np.int64).min
 
 
+#: Texts with a space that begins no word, since white space or the end follows; a space that begins one. All white space
+#: of Unicode, and more, counts here: a text that is not cut is as right.
+ODD = "\\x20(?:[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|\\z)"
+CUT = re.compile(r" (?=\S)")
+
+
 class Encoder:
     """Ids of texts as bytes (unsigned 32-bit, little-endian), by the library. Memory is bounded: two generations of
     ``PARTS`` short parts; longer parts are encoded each time."""
 
-    #: A space that begins no word of its own, since white space or the end follows; and one that does.
-    ODD, CUT = re.compile(r" (?:\s|\Z)"), re.compile(r" (?=\S)")
     #: Letters and one mark after them, which the pattern parts.
     MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?])")
 
@@ -115,19 +121,41 @@ class Encoder:
         self.long = [p for p in (*whole, *marked) if len(p) > PART_CHARS]
         return now
 
-    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
+    def some(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of a few texts, none of them null, with the end id. Arrow splits texts and finds the distinct parts."""
+        odd = pc.match_substring_regex(texts, ODD)
+        even = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        cut = [CUT.split(t) for t in texts.filter(odd).to_pylist()]
+        flat = pa.concat_arrays([even.flatten(), pa.array(chain.from_iterable(cut), pa.string())])
+        n_parts = np.concatenate((even.value_lengths().to_numpy(), np.array([len(c) for c in cut], np.int32)))
+        first = np.cumsum(n_parts) - n_parts
+        distinct = flat.dictionary_encode()
+        values = distinct.dictionary.to_pylist()
+        known = self.learn(set(values))
+        # ids of the distinct parts after a space, then those of the first parts of texts, which follow none
+        found = [*map(known.__getitem__, values), *self.plain(flat.take(pa.array(first)).to_pylist())]
+        ids, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) for x in found]) // 4
+        begin = np.cumsum(size) - size
+        part = distinct.indices.to_numpy().astype(np.int64)
+        part[first] = len(values) + np.arange(len(first))
+        n = size[part]
+        row_ends = np.cumsum(np.add.reduceat(n, first) + 1) if len(first) else np.zeros(0, np.int64)
+        out = np.full(int(n.sum()) + len(first), END_ID, "<u4")
+        held = np.ones(len(out), bool)
+        held[row_ends - 1] = False
+        out[held] = ids[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        data, place = out.tobytes(), np.concatenate(([0], row_ends * 4)).tolist()
+        rows = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable").tolist()
+        return (data[place[r] : place[r + 1]] for r in rows)
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text, with the end id."""
-        end = np.array([END_ID], "<u4").tobytes()
+        texts = texts.cast(pa.string()).fill_null("")
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
         at = 0
         while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size < AT_ONCE):
-                size += len(texts[to] or "")
-                to += 1
-            cut = [self.CUT.split(t) if self.ODD.search(t) else t.split(" ") for t in (x or "" for x in texts[at:to])]
-            known = self.learn({p for c in cut for p in c[1:]})
-            for first, c in zip(self.plain([c[0] for c in cut]), cut, strict=True):
-                yield first + b"".join(map(known.__getitem__, c[1:])) + end
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + AT_ONCE, "right")))
+            yield from self.some(texts[at:to])
             at = to
 
 
@@ -142,7 +170,7 @@ def encoder(path: str) -> Encoder:
 
 def ids_of(text: str | None, path: str) -> np.ndarray:
     """The ids of one text, with the end id."""
-    return np.frombuffer(next(encoder(path).batch([text])), "<u4")
+    return np.frombuffer(next(encoder(path).batch(pa.array([text], pa.string()))), "<u4")
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
@@ -152,7 +180,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     least = least_hashed(docs.filter("text IS NOT NULL").select("doc_id", "text"), "doc_id", SAMPLE_DOCS, 6)
     rows = least.select("__h", "doc_id", F.substr("text", F.lit(1), F.lit(SAMPLE_CHARS)).alias("t")).orderBy("__h", "doc_id", "t").limit(SAMPLE_DOCS).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, list(encoder(path).batch([r["t"] for r in rows]))).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, list(encoder(path).batch(pa.array([r["t"] for r in rows], pa.string())))).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -196,7 +224,7 @@ def write_store(docs: DataFrame, root: str, path: str) -> DataFrame:
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, tokens = _tools(dictionary)[0], encoder(path)
         for batch in batches:
-            ids = list(tokens.batch(batch.column(1).to_pylist()))
+            ids = list(tokens.batch(batch.column(1)))
             n, crc = np.array([len(x) // 4 for x in ids], np.int64), np.array([zlib.crc32(x) for x in ids], np.int64)
             doc = batch.column(0).fill_null(_NONE).to_numpy()
             low = np.searchsorted(cuts, doc)
