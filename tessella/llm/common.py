@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named (tests)."""
+    """The shared folder that the cluster names; a local one only where none is named and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -49,6 +51,17 @@ def least_hashed(df: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
     return df.select("*", h).join(F.broadcast(least), "__h", "left_semi")  # at most k hashes
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns: those given, with underscores where ``df`` has them already, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for each row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -4,12 +4,15 @@ Three rules give the base findings: ``assign`` (a named value), ``access`` (an a
 lower-case hexadecimal digits). Every other run of ``CANDIDATE`` characters is a candidate for the network, kind
 ``net``: its characters and those around it are embedded, convolved, max-pooled and scored, all in numpy. A candidate
 longer than a window is seen whole: windows slide over it, and its score is the greatest of theirs. The network is
-trained on labelled findings, which are seeded random keys, keys inside long paths, and harmless look-alikes, set into
-pieces of at most ``SAMPLE_DOCS`` documents, half of them kept apart to calibrate its scores (a logistic fit) and to
-choose the threshold: the highest that keeps ``RECALL`` of the labelled secrets. Base findings always stay.
+trained on labelled findings: what the rules find in at most ``FOUND_DOCS`` documents (secrets) and the candidates beside
+it in pieces of at most ``SAMPLE_DOCS`` others (harmless), and, since documents may show few kinds, seeded random keys,
+keys inside long paths and look-alikes that are set into those pieces. Half of all is kept apart to calibrate the scores
+(a logistic fit) and to choose the threshold: the highest that keeps ``RECALL`` of the labelled secrets, of those of the
+documents as of the seeded ones. Base findings always stay.
 
 Spans are [start, end) in code points of the whole text, leftmost and without overlap within a kind. Of a run that
-overlaps base findings, the parts outside them are candidates if they are as long as one.
+overlaps base findings, the parts outside them are candidates if they are as long as one; a shorter rest of a key that
+touches a finding is redacted with it.
 
 Defined results: a null or empty text has no findings and the digest of the empty string. Repeated rows get equal
 results. An empty table gives an empty result. Other columns are ignored. Long texts are scanned whole.
@@ -21,7 +24,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,8 @@ STEP = 8
 WINDOWS = 8192
 EMBED, WIDTH, FILTERS = 8, 5, 24
 SAMPLE_DOCS, SAMPLE_CHARS = 256, 400
+#: Documents with base findings that are learned from, and the characters before and after the first finding of each.
+FOUND_DOCS, FOUND_BEFORE, FOUND_CHARS = 256, 100, 500
 RECALL = 0.98
 
 
@@ -81,12 +85,12 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
         at, end = m.span()
         while k < len(base) and base[k][1] <= at:
             k += 1
-        for s, e, _ in islice(base, k, None):
-            if s >= end:
-                break
-            if s - at >= LEAST_CANDIDATE:
-                out.append((at, s))
-            at = max(at, e)
+        j = k
+        while j < len(base) and base[j][0] < end:
+            if base[j][0] - at >= LEAST_CANDIDATE:
+                out.append((at, base[j][0]))
+            at = max(at, base[j][1])
+            j += 1
         if end - at >= LEAST_CANDIDATE:
             out.append((at, end))
     return out
@@ -217,13 +221,31 @@ def labelled_runs(pieces: list[str], rng: np.random.Generator, n: int = 1200) ->
     return runs
 
 
-def train(pieces: list[str], steps: int = 260, seed: int = 11) -> Scanner:
-    """The same pieces in the same order give the same scanner."""
+def found_windows(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces of documents: windows of what the rules find (labelled 1) and of the candidates beside it (0)."""
+    xs, ys = [np.zeros((0, LENGTH), np.int16)], []
+    for text in pieces:
+        base = base_spans(text)
+        values = {(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_CANDIDATE}
+        values |= {(a, b) for a, b, kind in base if kind != "assign" and b - a >= LEAST_CANDIDATE}
+        for label, spans in ((1, sorted(values)), (0, candidates(text, base))):
+            for a, b in spans:
+                xs.append(window(text, a, b)[None])
+                ys.append(label)
+    return np.concatenate(xs), np.array(ys, np.float32)
+
+
+def train(pieces: list[str], found: list[str] = (), steps: int = 260, seed: int = 11) -> Scanner:
+    """From pieces of documents, and pieces with base findings. The same pieces in the same order give the same scanner."""
     rng = np.random.default_rng(seed)
     x, y = labelled_findings(pieces, rng)
+    real, real_y = found_windows([*found, *pieces])
+    mixed = rng.permutation(len(x) + len(real))
+    x, y, of_docs = np.concatenate((x, real))[mixed], np.concatenate((y, real_y))[mixed], (np.arange(len(mixed)) >= len(x))[mixed]
     runs = labelled_runs(pieces, np.random.default_rng(seed + 1))
     half, apart = len(x) // 2, runs[len(runs) // 2 :]
     # learned from: windows of findings and of long runs; kept apart: a candidate each, with all its windows
+    late_docs = np.concatenate((of_docs[half:], np.zeros(len(apart), bool)))
     late, late_y = [*x[half:, None], *(r for r, _ in apart)], np.concatenate((y[half:], [float((t != 0).any()) for _, t in apart]))
     learned, labels = (np.concatenate((first[:half], *rest)) for first, rest in ((x, [r for r, _ in runs[: len(runs) // 2]]), (y, [t for _, t in runs[: len(runs) // 2]])))
     x, y = learned[labels >= 0], labels[labels >= 0]
@@ -252,8 +274,11 @@ def train(pieces: list[str], steps: int = 260, seed: int = 11) -> Scanner:
         h = np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
         a, c = np.array([a, c]) - np.clip(np.linalg.solve(h, g), -1, 1)
     s = Scanner(p, float(a), float(c), 0.0)
-    positive = np.sort(1 / (1 + np.exp(-np.clip(a * z[t > 0] + c, -60, 60))))
-    s.threshold = float(positive[int((1 - RECALL) * len(positive))])
+    score, least = 1 / (1 + np.exp(-np.clip(a * z + c, -60, 60))), []
+    for kept in (t > 0) & late_docs, (t > 0) & ~late_docs:
+        positive = np.sort(score[kept])
+        least += [float(positive[int((1 - RECALL) * len(positive))])] if len(positive) else []
+    s.threshold = min(least)
     return s
 
 
@@ -265,6 +290,20 @@ def training_pieces(docs: DataFrame) -> list[str]:
     return [r["piece"] for r in rows]
 
 
+def training_found(docs: DataFrame) -> list[str]:
+    """Pieces around a base finding of the documents with the least hash among those that have one; a bounded sample."""
+    hint = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{20}|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
+    at = F.regexp_instr("text", F.lit(hint))
+    has = docs.select("doc_id", "text", at.alias("at")).filter("at > 0")
+    piece = F.substr("text", F.greatest(F.col("at") - FOUND_BEFORE, F.lit(1)), F.lit(FOUND_CHARS)).alias("piece")
+    rows = least_hashed(has, "doc_id", FOUND_DOCS, 22).select("__h", "doc_id", piece).orderBy("__h", "doc_id", "piece").limit(FOUND_DOCS).collect()
+    return [r["piece"] for r in rows]
+
+
+def train_on(docs: DataFrame) -> Scanner:
+    return train(training_pieces(docs), training_found(docs))
+
+
 def scan_batch(s: Scanner, texts: pa.Array) -> list[list[tuple[int, int, str]]]:
     """All spans of each text, by start, then kind as listed."""
     masks = {k: pc.fill_null(pc.match_substring_regex(texts, hint), False).to_numpy(zero_copy_only=False) for k, hint in HINTS.items()}
@@ -303,17 +342,26 @@ def scan_batch(s: Scanner, texts: pa.Array) -> list[list[tuple[int, int, str]]]:
     return found
 
 
-def scan(docs: DataFrame, scanner: Scanner, redact: bool = False, mark: str = "[SECRET]") -> DataFrame:
-    """Adds ``secret_spans`` array<struct<start, end, kind>>; with ``redact`` the texts have ``mark`` in place of them."""
-    schema = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+TOUCHING = re.compile(r"[A-Za-z0-9_-]*")
+
 
-    def cut(text: str, spans) -> str:
-        out, at = [], 0
-        for a, b, _ in spans:
-            if a >= at:
-                out += [text[at:a], mark]
-            at = max(at, b)
-        return "".join([*out, text[at:]])
+def redacted(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
+    """The text with ``mark`` for each span and for the rest of a key that touches one."""
+    out, at = [], 0
+    for a, b, kind in spans:
+        if kind != "assign":
+            a -= len(TOUCHING.match(text[max(at, a - 128) : a][::-1])[0]) if a > at else 0
+            b = TOUCHING.match(text, b).end()
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def scan(docs: DataFrame, scanner: Scanner, redact: bool = False, mark: str = "[SECRET]", spans_col: str = "secret_spans") -> DataFrame:
+    """Adds ``spans_col`` array<struct<start, end, kind>>; with ``redact`` the texts have ``mark`` in place of them.
+    A column of ``docs`` that is called so, in any case, is replaced."""
+    schema = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,13 +369,13 @@ def scan(docs: DataFrame, scanner: Scanner, redact: bool = False, mark: str = "[
             found = scan_batch(scanner, batch.column(k).cast(pa.string()))
             cols = list(batch.columns)
             if redact and any(found):
-                cols[k] = pa.array([cut(t.as_py(), f) if f else t.as_py() for t, f in zip(batch.column(k), found, strict=True)], pa.string())
+                cols[k] = pa.array([redacted(t.as_py(), f, mark) if f else t.as_py() for t, f in zip(batch.column(k), found, strict=True)], pa.string())
             spans = pa.array([[{"start": a, "end": b, "kind": kind} for a, b, kind in f] for f in found], schema)
-            yield pa.RecordBatch.from_arrays([*cols, spans], [*batch.schema.names, "secret_spans"])
+            yield pa.RecordBatch.from_arrays([*cols, spans], [*batch.schema.names, spans_col])
 
-    kept = small_batches(docs).select(*[c for c in docs.columns if c != "secret_spans"])
+    kept = small_batches(docs).select(*[c for c in docs.columns if c.lower() != spans_col.lower()])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, secret_spans array<struct<start:long,end:long,kind:string>>")
+    return kept.mapInArrow(run, f"{fields}, {spans_col} array<struct<start:long,end:long,kind:string>>")
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:
@@ -336,7 +384,7 @@ def digest(spans: list[tuple[int, int, str]]) -> str:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = scan(docs.select("doc_id", "text"), train(training_pieces(docs)))
+    found = scan(docs.select("doc_id", "text"), train_on(docs))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("secret_spans", lambda s: s["kind"] != "net")

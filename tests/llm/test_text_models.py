@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -105,6 +106,37 @@ def test_scanner_is_calibrated_for_recall(scanner):
     assert (q[y == 0] >= scanner.threshold).mean() < 0.02
 
 
+def test_recall_on_findings_of_documents_that_were_not_learned_from(spark):
+    """The network alone, on what the rules find in documents kept apart, and on the candidates beside it."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    table = spark.read.parquet(path)
+    s = S.train_on(table.filter("doc_id % 2 = 0"))
+    apart = S.training_found(table.filter("doc_id % 2 = 1"))
+    x, y = S.found_windows(apart)
+    q = S.scores(s, x)
+    assert (y > 0).sum() > 40 and (q[y > 0] >= s.threshold).mean() >= 0.95
+    texts = [r["text"] for r in table.filter("doc_id % 2 = 1 AND text IS NOT NULL").select("text").collect()]
+    harmless = [S.window(t, a, b) for t in texts for a, b in S.candidates(t, S.base_spans(t))]
+    assert harmless and (S.scores(s, np.stack(harmless)) >= s.threshold).mean() <= 0.1
+
+
+def test_the_rest_of_a_key_is_redacted_with_its_finding():
+    text = "key sk_live_" + "0af" * 11 + "QmZx81Lk, and sk_other_ stays"
+    assert S.redacted(text, S.base_spans(text), "#") == "key #, and sk_other_ stays"
+    text = 'a token = "abcdefgh99" b'
+    assert S.redacted(text, S.base_spans(text), "#") == 'a #" b'
+
+
+def test_candidates_beside_many_findings_take_linear_time():
+    import time
+
+    text = ("token=abcdefgh" + "/" * 3) * 20_000
+    base, at = S.base_spans(text), time.process_time()
+    assert S.candidates(text, base) is not None and time.process_time() - at < 2
+
+
 def test_base_findings_stay_and_nets_add(scanner):
     found = S.scan_batch(scanner, pa.array(SECRET_TEXTS, pa.string()))
     for text, spans in zip(SECRET_TEXTS, found):
