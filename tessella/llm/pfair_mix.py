@@ -29,7 +29,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import fresh, materialize
 
 BLOCK_CHARS = 65_536
 #: Least slots of a period that follows from the weights; slots for each source, and from how many in all they get fewer.
@@ -89,37 +89,42 @@ def schedule(weights: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None) -> DataFrame:
-    """Adds ``block``, ``slot``, ``place`` and ``weight`` (of the period). The mixed order is slot, then place."""
-    spark = docs.sparkSession
-    own = [c for c in docs.columns if c.lower() not in ("block", "slot", "place", "weight")]
-    name, key, h, n, bucket = "source", "__mix_key", "__mix_hash", "__mix_chars", "__mix_bucket"
+#: What a mix adds to the documents' columns.
+ADDED = ("block", "slot", "place", "weight")
+
+
+def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None, names: tuple[str, ...] = ADDED) -> DataFrame:
+    """Adds block, slot, place and weight (of the period), under these ``names``; columns that are called so already, in
+    any case, are replaced. The mixed order is slot, then place."""
+    spark, (block, slot, place, weight) = docs.sparkSession, names
+    own = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
+    name, (key, h, n, bucket, at_, row, before_, size, j, slot_) = "source", fresh(docs, *(f"__mix_{x}" for x in ("key", "hash", "chars", "bucket", "at", "row", "before", "size", "j", "slot")))
     named = F.coalesce(F.concat(F.lit("s"), F.col(name)), F.lit("n"))
     sized = docs.select(*own, named.alias(key), F.xxhash64("doc_id", "text").alias(h), F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long").alias(n)).withColumn(bucket, F.pmod(h, F.lit(BUCKETS)))
 
     # at most sources * BUCKETS rows, partly summed before they are shuffled
-    sums = materialize(sized.groupBy(key, bucket).agg(F.sum(n).alias("__mix_size")), "mix_sizes")
-    totals = {r[0]: r[1] for r in sums.groupBy(key).agg(F.sum("__mix_size")).collect()}
+    sums = materialize(sized.groupBy(key, bucket).agg(F.sum(n).alias(size)), "mix_sizes")
+    totals = {r[0]: r[1] for r in sums.groupBy(key).agg(F.sum(size)).collect()}
     wanted = {k: Fraction(str((targets or {}).get(None if k == "n" else k[1:], 0))) for k in totals}
     wanted = wanted if any(wanted.values()) else {k: float(v) ** TEMPER for k, v in totals.items()}
     period = period_for(wanted, period)
     weights = whole_weights(wanted, period)
 
-    before = sums.select(key, bucket, (F.sum("__mix_size").over(Window.partitionBy(key).orderBy(bucket)) - F.col("__mix_size")).alias("__mix_before"))
+    before = sums.select(key, bucket, (F.sum(size).over(Window.partitionBy(key).orderBy(bucket)) - F.col(size)).alias(before_))
     inside = Window.partitionBy(key, bucket).orderBy(h, "doc_id")
     at = F.sum(n).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
-    numbered = sized.select(*own, key, bucket, at.alias("__mix_at"), F.row_number().over(inside).alias("__mix_row")).join(before, [key, bucket])
-    blocks = numbered.select(*own, key, F.floor((F.col("__mix_at") + F.col("__mix_before")) / block_chars).cast("long").alias("block"), (F.col(bucket) * (1 << 40) + F.col("__mix_row")).alias("place"))
+    numbered = sized.select(*own, key, bucket, at.alias(at_), F.row_number().over(inside).alias(row)).join(before, [key, bucket])
+    blocks = numbered.select(*own, key, F.floor((F.col(at_) + F.col(before_)) / block_chars).cast("long").alias(block), (F.col(bucket) * (1 << 40) + F.col(row)).alias(place))
 
-    shares = spark.createDataFrame(list(weights.items()), f"{key} string, weight long")
-    slots = spark.createDataFrame([(k, j, slot) for slot, (k, j) in enumerate(schedule(weights) if weights else [])], f"{key} string, __mix_j long, __mix_slot long")
-    mixed = blocks.join(F.broadcast(shares), key).withColumn("__mix_j", F.col("block") % F.col("weight")).join(F.broadcast(slots), [key, "__mix_j"])
-    return mixed.select(*own, "block", (F.floor(F.col("block") / F.col("weight")) * period + F.col("__mix_slot")).cast("long").alias("slot"), "place", "weight")
+    shares = spark.createDataFrame(list(weights.items()), f"{key} string, {weight} long")
+    slots = spark.createDataFrame([(k, i, at) for at, (k, i) in enumerate(schedule(weights) if weights else [])], f"{key} string, {j} long, {slot_} long")
+    mixed = blocks.join(F.broadcast(shares), key).withColumn(j, F.col(block) % F.col(weight)).join(F.broadcast(slots), [key, j])
+    return mixed.select(*own, block, (F.floor(F.col(block) / F.col(weight)) * period + F.col(slot_)).cast("long").alias(slot), place, weight)
 
 
-def ordered(mixed: DataFrame) -> DataFrame:
+def ordered(mixed: DataFrame, names: tuple[str, ...] = ADDED) -> DataFrame:
     """The rows in the mixed order, range-partitioned: partition by partition and row by row."""
-    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
+    return mixed.repartitionByRange(*names[1:3]).sortWithinPartitions(*names[1:3])
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
