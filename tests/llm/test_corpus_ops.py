@@ -6,6 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tessella.llm import ann_mih as A
@@ -100,10 +101,45 @@ def test_join_of_nothing(spark):
 
 
 def test_rows_of_one_id_with_different_texts(spark):
-    rows = [(1, "a b c d e f g", "en", "x"), (1, "other words stand here now again", "en", "x"), (2, "a b c d e f g", "en", "x"), (3, "other words stand here now again", "en", "x")]
-    df = J.jaccard_join(docs(spark, rows, False))
-    assert df.count() == 4 and {r["component_id"] for r in df.collect() if r["doc_id"] == 1} == {1}
-    assert sorted(r["component_id"] for r in df.collect()) in ([1, 1, 1, 2], [1, 1, 1, 3])
+    """Such a document has the links of each of its texts, and is one node."""
+    a, b, c = "a b c d e f g", "other words stand here now again", "z " + " ".join(f"y{i}" for i in range(60))
+    rows = [(1, a, "en", "x"), (1, b, "en", "x"), (2, a, "en", "x"), (3, b, "en", "x"), (4, c, "en", "x"), (5, c + " end", "en", "x"), (6, c, "en", "x"), (6, "alone in this table", "en", "x"), (7, "alone in this table", "en", "x")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_copies"], r["n_links"]) for r in J.jaccard_join(docs(spark, rows, False)).collect())
+    assert got == [(1, 3, 1, 2, 0), (1, 4, 1, 2, 0), (2, 4, 1, 2, 0), (3, 3, 1, 2, 0), (4, 58, 4, 2, 1), (5, 59, 4, 1, 1), (6, 1, 4, 2, 1), (6, 58, 4, 2, 1), (7, 1, 4, 2, 0)]
+
+
+def test_voronoi_cells_divide_an_ordinary_region():
+    """A region of a few groups around common passages, with the production parameters: cells are made, links are exact."""
+    rng = random.Random(5)
+    shared, rows = [f"s{j}" for j in range(12)], []
+    for _ in range(9):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(12):
+            w = [*base, *shared]
+            w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+            rows.append(" ".join(w))
+    sets = [shingle_set(t, 4).view(np.int64) for t in rows]
+    r = J.Region(sets, 85, 100)
+    got = {tuple(p) for p in r.pairs().T.tolist()}
+    held = [set(s.tolist()) for s in sets]
+    assert got == {(i, j) for i in range(len(held)) for j in range(i + 1, len(held)) if 100 * len(held[i] & held[j]) >= 85 * len(held[i] | held[j])}
+    assert len(got) > 100 and r.cells >= 2
+
+
+def test_counting_streams_over_batches():
+    rng = random.Random(2)
+    rows = sorted(((rng.randrange(40), rng.choice([None, 1, 2, 3]), 1, 0 if rng.random() < 0.9 else 2) for _ in range(300)), key=lambda r: r[0])
+    want = {}
+    for h, doc, need, cnt in rows:
+        if cnt or doc is not None and sum(x[0] == h and not x[3] for x in rows) > 1:
+            want[doc] = want.get(doc, 0) + max(cnt, 1)
+    for size in (1, 2, 7, 300):
+        t = pa.Table.from_pylist([dict(zip(("h", "doc", "need", "cnt"), r)) for r in rows], schema=J._POST)
+        got = {}
+        for b in J._count(iter(t.to_batches(max_chunksize=size))):
+            for r in b.to_pylist():
+                got[r["doc"]] = got.get(r["doc"], 0) + r["cnt"]
+        assert got == want
 
 
 def test_filters_lose_no_partner():
@@ -338,6 +374,12 @@ def test_ids_equal_the_tokenizers_library(seed):
 # ---- pipeline
 
 
+def test_rows_that_share_an_id_but_not_a_text_stay(spark):
+    rows = [(1, "one text of its own here", "en", "a"), (1, "quite another text than that", "en", "a"), (1, "one text of its own here", "en", "b"), (2, "something else again", "en", "a"), (None, "x", "en", "a"), (None, "x", "en", "a")]
+    kept = P.near_duplicates(spark, docs(spark, rows), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "x"), (0, "x"), (1, "one text of its own here"), (1, "quite another text than that"), (2, "something else again")]
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import hashlib
 
@@ -360,8 +402,15 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 
 def test_stages_return_the_columns_of_documents(spark, tmp_path):
-    df = docs(spark, TEXTS)
+    """Columns that are called as an operator's own come out with their values."""
+    df = docs(spark, TEXTS).selectExpr("*", "'mine' AS slot", "0.5D AS weight", "7 AS PLACE", "1 AS __mix_key")
+    df = df.withColumn("block", F.col("doc_id") * 3)
+    own = {r["doc_id"]: r["block"] for r in df.filter("doc_id < 10").collect()}
     for name, stage in P.STAGES[:-1]:
-        assert stage(spark, df, "").columns == df.columns, name
+        out = stage(spark, df, "")
+        assert out.columns == df.columns, name
+        rows = out.collect()
+        assert {r["slot"] for r in rows} == {"mine"} and {r["secret_spans"] for r in rows} == {"y"} and {r["weight"] for r in rows} == {0.5}, name
+        assert all(r["block"] == own[r["doc_id"]] for r in rows if r["doc_id"] in own), name
         assert stage(spark, docs(spark, []), "").count() == 0, name
     assert P.STAGES[-1][1](spark, df, "").count() == len(TEXTS)
