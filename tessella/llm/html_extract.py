@@ -2,12 +2,14 @@
 
 A page becomes units of text with the tags between them. Each word of a unit has the weight of the place where it
 stands, each tag a negative weight, and one linear scan finds the contiguous run with the highest sum; its units of
-positive weight are the main text. What scores negative between two positive units (an advert in the article, a long
-menu) costs at most ``GAP`` words, so that it does not end the run by its length alone.
+positive weight are the main text. What scores negative between two positive units costs at most ``GAP`` words, so that
+it does not end the run by its length alone; a part that is known to stand beside the content (an advert in the article)
+costs nothing there, and neither do tags in an article, whose mark already counts.
 
 The weights come from labelled pages, at most ``SAMPLE_PAGES`` with the least hash, of which the first ``SAMPLE_CHARS``
 characters are read. Labels say nothing of names: a block is dense if it has ``DENSE`` words and few links, or if it
-repeats the page's title; the contiguous run of blocks with the most dense words is the labelled content. A logistic
+repeats the page's title; the contiguous run of blocks with the most dense words is the labelled content, with the blocks
+of the same elements that follow it. A logistic
 regression, held towards priors, learns what a word's place says: its innermost block element, the innermost element or
 name around it that says something (article, nav, a class such as ``ad``), whether its block is mostly links and whether
 it is long. Names that a sample shows to stand beside the content are learned with them. Tags get the log-odds of
@@ -77,9 +79,10 @@ NAMES = frozenset(
 )
 PLAIN = frozenset("area bar block body bottom box buttons container content form global group inner item items left links list main message module page panel primary right secondary section site slot strip thread top unit wrap wrapper".split())
 
-#: Prior means of the regression by kind of feature, its precision, and how many words the labelled ones count as in all.
-PRIOR = {"main": 3.0, "beside": -6.0, "linked": -3.0, "long": 2.0, "p": 1.0, "heading": 1.0}
-PRECISION, EVIDENCE = 0.25, 2000
+#: Prior means of the regression by kind of feature, and how many words the labelled ones count as in all. What every place
+#: and block says is held more firmly than what names, links and length say, as few pages show all kinds of blocks.
+PRIOR = {"all": 0.5, "main": 3.0, "beside": -6.0, "linked": -3.0, "long": 2.0, "p": 1.0, "heading": 1.0}
+PRECISION, FIRM, EVIDENCE = 0.25, 20.0, 2000
 
 
 @dataclass
@@ -94,6 +97,10 @@ class Unit:
     words: int = 0
     linked: int = 0
 
+    @property
+    def beside(self) -> bool:
+        return self.mark[:1] == "." or self.mark in BESIDE
+
 
 @dataclass
 class Weights:
@@ -217,13 +224,12 @@ def units(page: str | None, learned: frozenset[str] = frozenset(), heed: bool =
 
 def features(u: Unit) -> list[str]:
     """What a unit's place says. Beside the content a long block says nothing for itself, in an article links nothing against."""
-    beside = u.mark[:1] == "." or u.mark in BESIDE
     out = ["all", f"block {u.block}"]
     if u.mark:
         out.append(f"mark {u.mark}")
     if 2 * u.linked > u.words:
         out += [] if u.mark in MAIN else ["linked"]
-    elif u.words >= DENSE and not beside:
+    elif u.words >= DENSE and not u.beside:
         out.append("long")
     return out
 
@@ -250,6 +256,10 @@ def labels(page: str, found: list[Unit]) -> list[bool]:
         repeats = len(own) >= 3 and len(title) >= 3 and (own == title[: len(own)] or title == own[: len(title)])
         gain.append(u.words if repeats or u.words >= DENSE and 4 * u.linked <= u.words else -1 - min(u.words, LOOSE))
     first, last = best_run(gain)
+    # short blocks of the same element go on where the dense ones end
+    kinds = {u.block for u, g in zip(found[first:last], gain[first:last], strict=True) if g > 0}
+    while first < last < len(found) and found[last].block in kinds and 2 * found[last].linked <= found[last].words:
+        last += 1
     return [first <= i < last and 2 * u.linked <= u.words for i, u in enumerate(found)]
 
 
@@ -299,9 +309,10 @@ def train(pages: list[str]) -> Weights:
     n *= EVIDENCE / max(n.sum(), 1)
     mean = np.array([prior(f) for f in names])
     w = mean.copy()
+    held = np.array([FIRM if f == "all" or f.startswith("block ") else PRECISION for f in names])
     for _ in range(30 if len(rows) else 0):  # Newton steps, held to the prior
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (n * q * (1 - q))[:, None]).T @ x + PRECISION * np.eye(len(w)), x.T @ (n * (q - y)) + PRECISION * (w - mean))
+        step = np.linalg.solve((x * (n * q * (1 - q))[:, None]).T @ x + np.diag(held), x.T @ (n * (q - y)) + held * (w - mean))
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -337,11 +348,10 @@ def _extract(page: str | None, weights: Weights, heed: bool) -> tuple[str, int]:
     owner: list[int] = []
     loss = 0.0
     for i, (u, w) in enumerate(zip(found, weight, strict=True)):
-        inside = u.mark in MAIN
-        cost = sum(max(-0.001, weights.tag.get(t, -0.001)) if inside else weights.tag.get(t, tag_weight()) for t in u.tags)
+        cost = -0.001 * len(u.tags) if u.mark else sum(weights.tag.get(t, tag_weight()) for t in u.tags)
         if u.main:
             put_off[u.main] += u.words - u.linked
-        loss = min(GAP, loss - cost - min(0.0, w * u.words))
+        loss = min(GAP, loss - cost - (0.0 if u.beside else min(0.0, w * u.words)))
         if w > 0 and u.words:
             gain += [-loss, w * u.words]
             owner += [-1, i]
