@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import least_hashed
+from tessella.llm.common import least_hashed, sliced
 
 SAMPLE_PAGES, SAMPLE_CHARS = 256, 65_536
 #: Words from which a block is dense, and the most that one block without them costs the labelled run.
@@ -377,7 +377,7 @@ def extract_main(pages: DataFrame, weights: Weights) -> DataFrame:
     """page_id, url, text, n_chars; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [extract(h.as_py(), weights) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches
+from tessella.llm.common import sliced
 
 WINDOW = 64
 HIDDEN = 8
@@ -233,22 +233,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row; no shuffle."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             names, score = _judge(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
     """The rows, unchanged, whose language is known with at least this score; no shuffle."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             names, score = _judge(model, batch.column("text"))
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score, strict=True)], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import least_hashed, small_batches
+from tessella.llm.common import least_hashed, sliced
 
 #: The base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -364,7 +364,7 @@ def scan(docs: DataFrame, scanner: Scanner, redact: bool = False, mark: str = "[
     schema = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             k = batch.schema.get_field_index("text")
             found = scan_batch(scanner, batch.column(k).cast(pa.string()))
             cols = list(batch.columns)
@@ -373,7 +373,7 @@ def scan(docs: DataFrame, scanner: Scanner, redact: bool = False, mark: str = "[
             spans = pa.array([[{"start": a, "end": b, "kind": kind} for a, b, kind in f] for f in found], schema)
             yield pa.RecordBatch.from_arrays([*cols, spans], [*batch.schema.names, spans_col])
 
-    kept = small_batches(docs).select(*[c for c in docs.columns if c.lower() != spans_col.lower()])
+    kept = docs.select(*[c for c in docs.columns if c.lower() != spans_col.lower()])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(run, f"{fields}, {spans_col} array<struct<start:long,end:long,kind:string>>")
 

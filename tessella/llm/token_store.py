@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import least_hashed, scratch_dir
+from tessella.llm.common import least_hashed, scratch_dir, sliced
 
 MAGIC = b"TSLTOK01"
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u4"), ("offset", "<u8"), ("size", "<u4")])
@@ -223,7 +223,7 @@ def write_store(docs: DataFrame, root: str, path: str) -> DataFrame:
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, tokens = _tools(dictionary)[0], encoder(path)
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             ids = list(tokens.batch(batch.column(1)))
             n, crc = np.array([len(x) // 4 for x in ids], np.int64), np.array([zlib.crc32(x) for x in ids], np.int64)
             doc = batch.column(0).fill_null(_NONE).to_numpy()
