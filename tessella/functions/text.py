@@ -49,6 +49,20 @@ def ngrams(items: Column, n: int, sep: str = " ") -> Column:
     return let(items, windows)
 
 
+def hashes(items: Column) -> Column:
+    return F.transform(items, lambda x: F.xxhash64(x))
+
+
+def shingles(toks: Column, n: int) -> Column:
+    """64-bit hashes of the windows of n tokens, as ``ngrams`` cuts them; no string is built."""
+
+    def windows(h: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
+        return F.when(F.size(h) >= n, every).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(hashes(toks), windows)
+
+
 def char_ngrams(text: Column, n: int) -> Column:
     """Windows of n characters. The characters are an array first: a position in a string is found from its start."""
     return ngrams(F.filter(F.split(text, ""), lambda c: c != ""), n, "")

@@ -22,11 +22,3 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return new.select("id", F.col("new").alias("cluster"))
         labels = new.select("id", F.col("new").alias("label"))
     raise RuntimeError("labels did not settle")
-
-
-def cluster_stats(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per cluster: size, edges, greatest and mean similarity over all pairs of members (a missing edge counts 0)."""
-    inside = edges.join(members.select(F.col("id").alias("a"), "cluster"), "a").groupBy("cluster").agg(F.count(F.lit(1)).alias("n_edges"), F.max("w").alias("max_similarity"), F.sum("w").alias("s"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    pairs = F.col("size") * (F.col("size") - 1) / 2
-    return sizes.join(inside, "cluster").select("cluster", "size", "n_edges", "max_similarity", (F.col("s") / pairs).alias("avg_similarity"))

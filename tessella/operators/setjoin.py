@@ -1,46 +1,69 @@
-"""Exact joins of sets by Jaccard similarity, and of multisets by tokens, on DataFrames."""
+"""Exact joins of sets by Jaccard similarity, and of multisets by tokens, on DataFrames.
+
+Items are 64-bit hashes before anything moves. Equal sets form one class, and only classes are joined.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.session import written
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """(id, items) to one row for each distinct set: id (the least), items, n (its size), copies."""
-    keyed = sets.select("id", F.sort_array(F.array_distinct("items")).alias("items")).withColumn("key", F.sha2(F.array_join("items", "\n"), 256)).filter(F.size("items") > 0)
-    keyed = written(keyed, "sets")
-    ids = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    return keyed.join(ids, ["key", "id"]).select("id", "items", F.size("items").alias("n"), "copies")
+def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, items array<bigint>) to the distinct sets and their members. Empty sets are in neither.
+
+    The first has a row for each set: id (its least), items, n (its size), copies. The second has (id, class, copies) of
+    every document.
+    """
+    one = sets.select("id", F.sort_array(F.array_distinct("items")).alias("items")).filter(F.size("items") > 0)
+    keyed = written(one.select("id", "items", F.xxhash64("items").alias("k"), F.hash("items").alias("l"), F.size("items").alias("n")), "sets")
+    key = ["k", "l", "n"]
+    ids = written(keyed.groupBy(*key).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "classes")
+    reps = keyed.select("id", "items", "n").join(ids.select(F.col("class").alias("id"), "copies"), "id")
+    return reps, keyed.select("id", *key).join(ids, key).select("id", "class", "copies")
+
 
+def multisets(docs: DataFrame) -> DataFrame:
+    """(id, items) to (id, items array<bigint>): the k-th copy of an item is an item of its own, so that the Jaccard
+    similarity of the sets is that of the multisets."""
+    each = counts(docs).select("id", F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("c")), lambda k: F.xxhash64("t", k)).alias("x"))
+    return each.groupBy("id").agg(F.flatten(F.collect_list("x")).alias("items"))
 
-def _prefix(items: DataFrame, frequency: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, n, t, k) of each set's rarest items: as many as a similar set must share one of."""
-    order = Window.partitionBy("id").orderBy("df", "t")
-    ranked = items.join(frequency, "t").withColumn("k", F.row_number().over(order))
-    return ranked.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("id", "n", "t")
+
+def _prefixed(sets: DataFrame, frequency: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, n, items, prefix): the items that others have too, rarest first, and of those as many as a similar set must
+    share one of. Items that no other set has come before all others and are only counted."""
+    met = sets.select("id", "n", F.explode("items").alias("t")).join(frequency, "t")
+    held = met.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s")).select("id", "n", F.col("s.t").alias("items"))
+    first = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("items"))
+    return held.filter(first > 0).select("id", "n", "items", F.slice("items", F.lit(1), first.cast("int")).alias("prefix"))
 
 
 def jaccard_pairs(sets: DataFrame, num: int, den: int, other: DataFrame | None = None) -> DataFrame:
     """id_a, id_b, common, total of pairs with common / total >= num / den; sets: (id, items distinct, n).
 
     Prefix filter: similar sets share one of their rarest items, so the candidates are an equi-join on those alone, and
-    only candidates fetch their items. With ``other`` the pairs are from one relation to the other, else id_a < id_b.
+    only candidates fetch the items that they share with anyone. With ``other`` the pairs are from one relation to the
+    other, else id_a < id_b.
     """
-    explode = lambda s: s.select("id", "n", F.explode("items").alias("t"))
-    a, b = explode(sets), explode(other) if other is not None else None
-    frequency = (a if b is None else a.unionByName(b)).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    pa = _prefix(a, frequency, num, den)
-    pb = pa if b is None else _prefix(b, frequency, num, den)
-    left, right = pa.toDF("id_a", "n_a", "t"), pb.toDF("id_b", "n_b", "t")
+    items = lambda s: s.select(F.explode("items").alias("t"))
+    if other is None:
+        frequency = items(sets).groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        a = b = written(_prefixed(sets, frequency, num, den), "prefixes")
+    else:
+        sides = items(sets).withColumn("s", F.lit(0)).unionByName(items(other).withColumn("s", F.lit(1)))
+        frequency = sides.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.max("s").alias("high"), F.min("s").alias("low")).filter("high = 1 AND low = 0").select("t", "df")
+        frequency = written(frequency, "frequencies")
+        a, b = written(_prefixed(sets, frequency, num, den), "prefixes"), written(_prefixed(other, frequency, num, den), "prefixes")
+    left, right = (x.select(F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.explode("prefix").alias("t")) for x, s in ((a, "a"), (b, "b")))
     near = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-    found = left.join(right, "t").filter(near & (F.col("id_a") < F.col("id_b") if b is None else F.lit(True))).select("id_a", "id_b").distinct()
-    ia = sets.select(F.col("id").alias("id_a"), F.col("items").alias("x"))
-    ib = (sets if other is None else other).select(F.col("id").alias("id_b"), F.col("items").alias("y"))
+    found = left.join(right, "t").filter(near & (F.col("id_a") < F.col("id_b") if other is None else F.lit(True))).select("id_a", "id_b").distinct()
+    ia = a.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("items").alias("x"))
+    ib = b.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("items").alias("y"))
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    scored = found.join(ia, "id_a").join(ib, "id_b").select("id_a", "id_b", common.alias("common"), (F.size("x") + F.size("y")).alias("s"))
+    scored = found.join(ia, "id_a").join(ib, "id_b").select("id_a", "id_b", common.alias("common"), (F.col("n_a") + F.col("n_b")).alias("s"))
     return scored.select("id_a", "id_b", "common", (F.col("s") - F.col("common")).cast("long").alias("total")).filter(F.col("common") * den >= F.col("total") * num)
 
 
@@ -78,11 +101,7 @@ def set_scores(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("id_a", "id_b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("na"), F.size("y").alias("nb"))
 
 
-def dice() -> Column:
-    n = F.col("na") + F.col("nb")
-    return F.when(n == 0, 1.0).otherwise(2 * F.col("common") / n)
-
-
 def jaccard() -> Column:
+    """Of the columns of ``set_scores``: both empty 1."""
     n = F.col("na") + F.col("nb") - F.col("common")
     return F.when(n == 0, 1.0).otherwise(F.col("common") / n)
