@@ -268,9 +268,10 @@ SELECT doc_id, page_id, round(0.85::DOUBLE * c / (len(dx.x) + len(px.x) - c) + C
 FROM m JOIN dx USING (doc_id) JOIN px USING (page_id) WHERE 2 * c >= len(dx.x) + len(px.x) - c"""
 
 
-def _fingerprints(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    hashed = docs.select(F.col("doc_id").alias("id"), F.transform(text.ngrams(text.tokens(F.col("text")), 5), F.md5).alias("h"))
+def _fingerprints(spark, sf_dir, tokens=None):
+    """(id, p, f): positions and hashes that winnowing picks, of all documents or of (id, items)."""
+    tokens = _items(spark, sf_dir, text.tokens) if tokens is None else tokens
+    hashed = tokens.select("id", F.transform(text.ngrams(F.col("items"), 5), F.md5).alias("h"))
     return hashed.select("id", text.let(F.col("h"), lambda h: text.let(text.winnow(h, 4), lambda p: F.struct(p.alias("p"), F.transform(p, lambda i: F.get(h, i - 1)).alias("f")))).alias("x")).select("id", "x.p", "x.f")
 
 
