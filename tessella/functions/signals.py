@@ -75,10 +75,91 @@ def whitespace(text: Column) -> Column:
     return let(runs, of)
 
 
+#: Names that say little, and the patterns of generated comments, names and structure.
+GENERIC = ["result", "output", "data", "value", "temp", "final", "new", "processed", "formatted", "cleaned"]
+PATTERNS = [
+    r"(?i)#\s*(Let's|Let us|We can|We will|We need to|We first|We then)\b",
+    r"(?i)#\s*(Here we|Here is|Here's|This function|This method|This class)\b",
+    r"(?i)#\s*(Note:|Note that|NOTE:|TODO:|FIXME:|Step \d+:)",
+    r"(?i)#\s*(Initialize|Create|Define|Compute|Calculate|Return|Check|Handle)\b",
+    r"(?m)#\s*[A-Z][a-z]+(?: [a-z]+){2,}\s*$",
+    r"#\s*-{3,}",
+    r'(?i)"""[\s\S]{0,40}(?:Initialize|Create|Define|Compute|Calculate|Return|Check|Handle)',
+    r"\b(result|output|data|value|temp|final|new|processed|formatted|cleaned)\b",
+    r"\b(process_|handle_|compute_|calculate_|generate_|validate_|parse_)\w+",
+    r"\b(input_data|output_data|result_list|data_list|item_list|temp_list)\b",
+    r"\b(is_valid|is_empty|is_none|has_error|has_value)\b",
+    r"(?i)if\s+\w+\s+is\s+None\s*:",
+    r"(?i)raise\s+ValueError\s*\(f?['\"]",
+    r"(?i)raise\s+TypeError\s*\(f?['\"]",
+    r"(?i)logging\.(debug|info|warning|error)\s*\(f?['\"]",
+    r"return\s+\[\s*\w+\s+for\s+\w+\s+in\s+\w+\s*\]",
+    r"Optional\[",
+    r"Union\[",
+    r"Dict\[str,",
+    r"List\[str\]",
+    r"-> (?:None|bool|int|str|float|List|Dict|Optional)\s*:",
+]
+#: What is counted for a style.
+ASSIGNED, LETTER, HINT = r"\b[a-zA-Z_]\w*\s*=", r"(?<![\p{L}\p{N}_])[a-z](?![\p{L}\p{N}_])", r"->\s*(?:None|bool|int|str|float|List|Dict|Optional|Union)"
+DOCSTRING, FUNCTION, TRY = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''", r"(?m)^\s*def\s+\w+", r"(?m)^\s*try\s*:"
+COMPREHENSION, LOOP = r"\[.*for.*in.*\]", r"(?m)^\s*for\s+\w+\s+in\s+"
+
+
+def count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(clean(text), F.lit(pattern))
+
+
 def patterns(text: Column) -> Column:
-    """Stock phrases of a generator for each line, times five."""
-    stock = r"(?i)(as an ai|in conclusion|it is important to note|furthermore|moreover|step [0-9]+|note that|example usage)"
-    return unit(5 * F.regexp_count(clean(text), F.lit(stock)) / F.size(lines(text)))
+    """Matches of the pattern library for each line, times five."""
+    found = sum((count(text, p) for p in PATTERNS[1:]), count(text, PATTERNS[0]))
+    return unit(5 * found / F.size(lines(text)))
+
+
+def stylometry(text: Column) -> Column:
+    """Generic names, documentation, type hints, no one-letter names, handled errors and comprehensions read as generated."""
+    of = lambda a, b: count(text, a) / F.greatest(count(text, b), F.lit(1))
+    generic = r"\b(?:" + "|".join(GENERIC) + r")\b"
+    documented = count(text, DOCSTRING) / F.size(lines(text))
+    return unit(of(generic, ASSIGNED) * 0.25 + documented * 0.20 + of(HINT, FUNCTION) * 0.20 + (1 - of(LETTER, ASSIGNED)) * 0.15 + of(TRY, FUNCTION) * 0.10 + F.least(F.lit(1.0), of(COMPREHENSION, LOOP)) * 0.10)
+
+
+def docstrings(text: Column) -> Column:
+    """Docstrings for each function, or for every ten lines where there is none."""
+    n, functions = count(text, DOCSTRING), count(text, FUNCTION)
+    return F.when(functions > 0, unit(n / F.greatest(functions, F.lit(1)) * 0.75)).otherwise(F.least(F.lit(1.0), n / F.greatest(F.lit(1.0), F.size(lines(text)) / 10)))
+
+
+def evenness(items: Column) -> Column:
+    """1 less the entropy of an array's values over its greatest; 1 where they are all the same."""
+
+    def of(r: Column) -> Column:
+        kinds = F.size(F.array_distinct(r))
+        return F.when(kinds <= 1, 1.0).otherwise(unit(1 - runs_entropy(r) / F.log2(kinds)))
+
+    return let(items, of)
+
+
+def indentation(text: Column) -> Column:
+    """Even indents read as generated: what structure says of a text that is not parsed."""
+    body = F.filter(lines(text), lambda x: F.regexp_like(x, F.lit(r"\S")))
+    levels = F.transform(body, lambda x: F.floor((F.length(x) - F.length(F.regexp_replace(x, r"^\s+", ""))) / 4))
+    return let(levels, lambda v: F.when(F.size(v) == 0, 0.0).otherwise(evenness(v) * 0.6))
+
+
+def structure(nodes: Column, text: Column) -> Column:
+    """Even kinds of syntax nodes read as generated; a source that does not parse (null) is read by its indents."""
+    return F.when(nodes.isNull(), indentation(text)).when(F.size(nodes) == 0, 0.0).otherwise(evenness(nodes) * 0.8)
+
+
+#: Below these sizes a signal is trusted 0, 0.3 and 0.6; other forms stand beside them.
+TRUST = {"perplexity": ("tokens", 10, 50, 100), "burstiness": ("filled", 5, 10, 20), "stylometry": ("lines", 20, 50, 100), "vocabulary": ("tokens", 20, 50, 100), "whitespace": ("lines", 10, 20, 30), "docstrings": ("functions", 1, 3, 5)}
+
+
+def trust(sizes: dict[str, Column]) -> dict[str, Column]:
+    """How far each signal of a text that is not parsed can be trusted, by its tokens, lines, filled lines and functions."""
+    steps = {k: F.when(sizes[of] < a, 0.0).when(sizes[of] < b, 0.3).when(sizes[of] < c, 0.6).otherwise(1.0) for k, (of, a, b, c) in TRUST.items()}
+    return steps | {"patterns": F.when(sizes["lines"] < 5, 0.5).when(sizes["lines"] < 20, 0.7).otherwise(1.0), "entropy": F.when(sizes["filled"] < 10, 0.3).otherwise(0.6)}
 
 
 def styles(text: Column) -> dict[str, Column]:

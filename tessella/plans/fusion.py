@@ -67,7 +67,7 @@ def fusion_decision(spark, sf_dir):
         driven = F.lit(kind == "CONFIG") & (s["embedding"] > 0.7 * D.highest(s, *s))
         final = D.rules((gate, "CLEAN"), (exact, "TRUE"), (driven & verdict.isin("TRUE", "PROBABLE"), "REVIEW"), otherwise=verdict)
         score = D.rules((gate, 0.0), (exact, 1.0), (driven, F.least(sure, F.lit(0.4))), otherwise=sure)
-        out.append(f.select("id_a", "id_b", F.lit(kind).alias("kind"), *[F.round(v, 6).alias(k) for k, v in e.items()], final.alias("verdict"), F.round(score, 6).alias("score")))
+        out.append(f.select("id_a", "id_b", F.lit(kind).alias("kind"), *[F.round(v, 6).alias(k) for k, v in e.items()], final.alias("verdict"), F.round(score, 9).alias("score")))
     return out[0].unionByName(out[1])
 
 
@@ -81,7 +81,7 @@ p AS (SELECT *, {_POLICY} AS v, least(1.0::DOUBLE, greatest(structural, lexical,
 c AS (SELECT *, CASE v WHEN 'CLEAN' THEN 0.05::DOUBLE + 0.3::DOUBLE * x WHEN 'PROBABLE' THEN 0.7::DOUBLE + 0.15::DOUBLE * x WHEN 'REVIEW' THEN 0.4::DOUBLE + 0.3::DOUBLE * x ELSE 0.85::DOUBLE + 0.15::DOUBLE * x END AS sure FROM p)
 SELECT id_a, id_b, kind, round(structural, 6) AS structural, round(lexical, 6) AS lexical, round(semantic, 6) AS semantic, round(style, 6) AS style,
 CASE WHEN gate THEN 'CLEAN' WHEN exact >= 0.95::DOUBLE THEN 'TRUE' WHEN driven AND v IN ('TRUE', 'PROBABLE') THEN 'REVIEW' ELSE v END AS verdict,
-round(CASE WHEN gate THEN 0.0 WHEN exact >= 0.95::DOUBLE THEN 1.0 WHEN driven THEN least(sure, 0.4::DOUBLE) ELSE sure END, 6) AS score FROM c"""
+round(CASE WHEN gate THEN 0.0 WHEN exact >= 0.95::DOUBLE THEN 1.0 WHEN driven THEN least(sure, 0.4::DOUBLE) ELSE sure END, 9) AS score FROM c"""
 
 
 def evidence_hierarchy(spark, sf_dir):
@@ -112,16 +112,16 @@ def conflict_resolution(spark, sf_dir):
     s = {"ast": F.col("ngram"), "gst": F.col("winnowing"), "token": F.col("token"), "semantic": F.col("embedding"), "cfg": F.col("fingerprint")}
     level, value, score, action = D.conflicts(s)
     kind, sure = D.clone_kind(F.col("token"), F.col("ngram"), F.col("fingerprint"), F.col("embedding"))
-    return features(spark, sf_dir).select("id_a", "id_b", level.alias("level"), value.alias("confidence"), F.round(score, 6).alias("score"), action.alias("action"), kind.alias("kind"), F.round(sure, 6).alias("kind_confidence"))
+    return features(spark, sf_dir).select("id_a", "id_b", level.alias("level"), value.alias("confidence"), F.round(score, 9).alias("score"), action.alias("action"), kind.alias("kind"), F.round(sure, 9).alias("kind_confidence"))
 
 
 CONFLICT_SQL = f"""WITH {_FEAT}, x AS (SELECT *, abs(ngram - winnowing) + abs(ngram - token) + abs(winnowing - token) AS gap, (ngram + winnowing + token + embedding + fingerprint) / 5 AS mean FROM feat),
 y AS (SELECT *, CASE WHEN gap < 0.3::DOUBLE AND mean > 0.7::DOUBLE THEN 1 WHEN ngram > 0.85::DOUBLE AND winnowing > 0.7::DOUBLE AND gap < 0.6::DOUBLE THEN 2 WHEN ngram > 0.8::DOUBLE AND winnowing > 0.5 THEN 3 WHEN ngram > 0.7::DOUBLE AND gap < 1 THEN 4 WHEN gap > 1.2::DOUBLE THEN 5 ELSE 6 END AS k FROM x),
 z AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN k <= 2 THEN 0.5::DOUBLE * ngram + 0.3::DOUBLE * winnowing + 0.2::DOUBLE * token WHEN k <= 4 THEN 0.6::DOUBLE * ngram + 0.25::DOUBLE * winnowing + 0.15::DOUBLE * token ELSE (0.7::DOUBLE * ngram + 0.2::DOUBLE * winnowing + 0.1::DOUBLE * token) * (1 - gap / 3) END)) AS s FROM y)
-SELECT id_a, id_b, CASE WHEN k <= 2 THEN 'high_confidence' WHEN k <= 4 THEN 'medium_confidence' ELSE 'low_confidence' END AS level, [0.95, 0.9, 0.7, 0.6, 0.3, 0.4][k]::DOUBLE AS confidence, round(s, 6) AS score,
+SELECT id_a, id_b, CASE WHEN k <= 2 THEN 'high_confidence' WHEN k <= 4 THEN 'medium_confidence' ELSE 'low_confidence' END AS level, [0.95, 0.9, 0.7, 0.6, 0.3, 0.4][k]::DOUBLE AS confidence, round(s, 9) AS score,
 CASE WHEN k <= 2 AND s > 0.8::DOUBLE THEN 'Auto-flag as suspicious' WHEN k IN (3, 4) AND s > 0.6::DOUBLE THEN 'Review recommended' WHEN k > 4 AND s > 0.5 THEN 'Manual review required' ELSE 'No action needed' END AS action,
 CASE WHEN token > 0.9::DOUBLE AND ngram > 0.95::DOUBLE THEN 'T1' WHEN ngram > 0.8::DOUBLE AND token < 0.9::DOUBLE THEN 'T2' WHEN fingerprint > 0.6::DOUBLE AND ngram > 0.35::DOUBLE THEN 'T3' WHEN ngram > 0.3::DOUBLE AND embedding > 0.25 THEN 'T4' ELSE 'T5' END AS kind,
-round(CASE WHEN token > 0.9::DOUBLE AND ngram > 0.95::DOUBLE THEN least(1.0, (token + ngram) / 2) WHEN ngram > 0.8::DOUBLE AND token < 0.9::DOUBLE THEN least(1.0, ngram) WHEN fingerprint > 0.6::DOUBLE AND ngram > 0.35::DOUBLE THEN least(1.0, (fingerprint + ngram) / 2) WHEN ngram > 0.3::DOUBLE AND embedding > 0.25 THEN embedding ELSE 1 - embedding END, 6) AS kind_confidence FROM z"""
+round(CASE WHEN token > 0.9::DOUBLE AND ngram > 0.95::DOUBLE THEN least(1.0, (token + ngram) / 2) WHEN ngram > 0.8::DOUBLE AND token < 0.9::DOUBLE THEN least(1.0, ngram) WHEN fingerprint > 0.6::DOUBLE AND ngram > 0.35::DOUBLE THEN least(1.0, (fingerprint + ngram) / 2) WHEN ngram > 0.3::DOUBLE AND embedding > 0.25 THEN embedding ELSE 1 - embedding END, 9) AS kind_confidence FROM z"""
 
 
 def arbitration(spark, sf_dir):
@@ -156,7 +156,7 @@ def learned_fusion(spark, sf_dir):
     weighted = S.weighted([(F.col(k), PRECISION[k]) for k in NAMES])
     verdict, sure = D.binary(learned)
     by_agreement = S.verdict(F.round(weighted * F.greatest(F.lit(0.0), 1 - spread * spread), 6))
-    return features(spark, sf_dir).select("id_a", "id_b", F.round(learned, 6).alias("learned"), F.round(blend, 6).alias("blended"), F.round(floored, 6).alias("floored"), S.risk(F.round(floored, 6)).alias("risk"), D.label(F.round(floored, 6)).alias("label"), verdict.alias("verdict"), F.round(sure, 6).alias("confidence"), by_agreement.alias("by_agreement"), F.round(D.rank(s), 6).alias("priority"))
+    return features(spark, sf_dir).select("id_a", "id_b", F.round(learned, 6).alias("learned"), F.round(blend, 9).alias("blended"), F.round(floored, 6).alias("floored"), S.risk(F.round(floored, 6)).alias("risk"), D.label(F.round(floored, 6)).alias("label"), verdict.alias("verdict"), F.round(sure, 6).alias("confidence"), by_agreement.alias("by_agreement"), F.round(D.rank(s), 9).alias("priority"))
 
 
 _Z = " + ".join([f"({D.INTERCEPT}::DOUBLE)", *(f"{k} * ({v}::DOUBLE)" for k, v in D.LEARNED.items() if k in (*NAMES, "coverage"))])
@@ -166,11 +166,11 @@ LEARNED_SQL = f"""WITH {_FEAT}, x AS (SELECT *, 1 / (1 + exp(-greatest(-30.0, le
 y AS (SELECT *, CASE WHEN ngram >= 0.75 AND fingerprint >= 0.8::DOUBLE AND (ngram >= 0.7::DOUBLE OR winnowing >= 0.56::DOUBLE) AND token >= 0.9::DOUBLE THEN greatest(l, 0.88::DOUBLE)
  WHEN ngram >= 0.65::DOUBLE AND fingerprint >= 0.65::DOUBLE AND (ngram >= 0.58::DOUBLE OR winnowing >= 0.48::DOUBLE) AND token >= 0.78::DOUBLE THEN greatest(l, 0.82::DOUBLE) ELSE l END AS f,
  round(wt * greatest(0.0, 1 - greatest(0.0, sq - mean * mean)), 6) AS e, greatest(0.0, least(1.0, greatest(fingerprint, winnowing) * 0.18::DOUBLE)) AS r FROM x)
-SELECT id_a, id_b, round(l, 6) AS learned, round(greatest(0.0, least(1.0, CASE WHEN k >= 3 THEN b * 1.1::DOUBLE ELSE b END)), 6) AS blended, round(f, 6) AS floored, {_RISK.format('round(f, 6)')} AS risk,
+SELECT id_a, id_b, round(l, 6) AS learned, round(greatest(0.0, least(1.0, CASE WHEN k >= 3 THEN b * 1.1::DOUBLE ELSE b END)), 9) AS blended, round(f, 6) AS floored, {_RISK.format('round(f, 6)')} AS risk,
 CASE WHEN round(f, 6) > 0.9::DOUBLE THEN 'HIGH RISK' WHEN round(f, 6) > 0.75 THEN 'MEDIUM RISK' WHEN round(f, 6) > 0.6::DOUBLE THEN 'SUSPICIOUS' ELSE 'LOW RISK' END AS label,
 CASE WHEN l >= 0.5 THEN 1 ELSE 0 END AS verdict, round(least(1.0, 0.5 + abs(l - 0.5)), 6) AS confidence,
 CASE WHEN e >= 0.85::DOUBLE THEN 'PLAGIARIZED' WHEN e >= 0.6::DOUBLE THEN 'SUSPICIOUS' WHEN e >= 0.3::DOUBLE THEN 'CLEAN' ELSE 'UNCERTAIN' END AS by_agreement,
-round(CASE WHEN embedding >= 0.75 AND greatest(fingerprint, winnowing, ngram) < 0.45::DOUBLE THEN least(r, 0.48::DOUBLE) ELSE r END, 6) AS priority FROM y"""
+round(CASE WHEN embedding >= 0.75 AND greatest(fingerprint, winnowing, ngram) < 0.45::DOUBLE THEN least(r, 0.48::DOUBLE) ELSE r END, 9) AS priority FROM y"""
 
 QUERIES = {
     "pair_features": (features, FEATURES_SQL),
