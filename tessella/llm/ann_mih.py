@@ -1,9 +1,10 @@
 """Operator 3, approximate nearest neighbours: multi-index hashing over learned, rotated binary codes.
 
 Codes: unit vectors are projected on their principal axes and rotated so that signs lose least (alternating between the
-signs and the best rotation), learned on at most ``SAMPLE`` vectors, those with the least hash. A code of 64 bits is
-split into ``PARTS`` substrings, each indexed. Two codes within Hamming radius r agree in some substring up to r / PARTS
-bits (pigeonhole), so probing the values that near retrieves every code within r. The radius is the least one that holds
+signs and the best rotation), learned on at most ``SAMPLE`` vectors, those with the least hash; vectors of fewer than 64
+dimensions have several such rotations beside each other. A code of 64 bits is split into substrings, each indexed; a
+substring has about log2 n bits, so that a value has few vectors. Two codes within Hamming radius r agree in some
+substring up to r / parts bits (pigeonhole), so probing the values that near retrieves every code within r. The radius is the least one that holds
 ``TARGET`` of the true neighbours of a bounded sample. Candidates within r are ranked by their cosine in double precision
 on the original vectors. Every row is indexed; only the codes and the radius come from a sample.
 
@@ -30,9 +31,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import least_hashed, materialize
 
-BITS, PARTS = 64, 8
-WIDTH = BITS // PARTS
-TOP = 3
+BITS, TOP = 64, 3
 SAMPLE, SAMPLE_QUERIES, TARGET = 8192, 256, 0.97
 LIST = 8192
 NEIGHBOURS = 5
@@ -51,16 +50,18 @@ class Coder:
         self.dim = Counter(len(v) for v in sample).most_common(1)[0][0] if sample else 0
         x = np.stack([v / np.linalg.norm(v) for v in sample if len(v) == self.dim]) if sample else np.zeros((0, 1))
         rng = np.random.default_rng(seed)
-        if self.dim < BITS:
-            self.axes = rng.standard_normal((max(self.dim, 1), BITS))
-        else:
-            axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :BITS]
-            turn = np.linalg.qr(rng.standard_normal((BITS, BITS)))[0]
+        principal = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+        blocks, bits = [], 0
+        while bits < BITS:
+            axes = principal[:, : BITS - bits]
+            turn = np.linalg.qr(rng.standard_normal((axes.shape[1],) * 2))[0]
             y = x @ axes
-            for _ in range(rounds):
+            for _ in range(rounds if len(x) else 0):
                 u, _, v = np.linalg.svd(np.sign(y @ turn).T @ y)
                 turn = (u @ v).T
-            self.axes = axes @ turn
+            blocks.append(axes @ turn)
+            bits += axes.shape[1]
+        self.axes = np.concatenate(blocks, axis=1)
         self.radius = self._radius(x) if len(x) else BITS
 
     def codes(self, x: np.ndarray) -> np.ndarray:
@@ -82,44 +83,54 @@ def coder_for(vectors: DataFrame, id_col: str, vector_col: str) -> Coder:
     return Coder([v for r in rows if (v := usable(r["v"])) is not None])
 
 
+def parts_for(n: int) -> int:
+    """Substrings of a code for n vectors: a power of two, so that one has about log2 n bits."""
+    return int(min(16, max(2, 2 ** round(np.log2(BITS / np.log2(max(n, 4)))))))
+
+
+def pack(v: np.ndarray) -> bytes:
+    """Components as bytes: single precision where that is exact, else double; the last byte tells which."""
+    small = v.astype("<f4")
+    return small.tobytes() + b"\x04" if (small == v).all() else v.astype("<f8").tobytes() + b"\x08"
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[:-1], "<f4" if data[-1] == 4 else "<f8").astype(np.float64)
+
+
 def index(vectors: DataFrame, coder: Coder, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, code, vector (doubles as bytes) of every vector that takes part."""
+    """vec_id, code, vector (packed) of every vector that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(i, v) for i, v in zip(batch.column(0).to_pylist(), map(usable, batch.column(1).to_pylist()), strict=True) if i is not None and v is not None and len(v) == coder.dim]
             codes = coder.codes(np.stack([v for _, v in got])).view(np.int64) if got else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array(codes), pa.array([v.tobytes() for _, v in got], pa.binary())], ["vec_id", "code", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array(codes), pa.array([pack(v) for _, v in got], pa.binary())], ["vec_id", "code", "vector"])
 
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, code long, vector binary")
 
 
 def _vectors(rows: pd.DataFrame) -> np.ndarray:
-    return np.stack([np.frombuffer(v) for v in rows["vector"]])
+    return np.stack([unpack(v) for v in rows["vector"]])
 
 
-def _probe(items: pd.DataFrame, queries: pd.DataFrame, radius: int, k: int) -> pd.DataFrame:
+def _probe(items: pd.DataFrame, queries: pd.DataFrame, radius: int, k: int, parts: int) -> pd.DataFrame:
     """The k nearest of each query in one list: probes by value, the Hamming check, then cosines."""
     out: list[tuple] = []
     if len(items) and len(queries):
-        part = int(items["part"].iloc[0])
-        near = radius // PARTS
+        part, near, width = int(items["part"].iloc[0]), radius // parts, BITS // parts
+        mask = np.uint64(2**width - 1)
         items = items.sort_values("vec_id", ignore_index=True)
         code = items["code"].to_numpy().view(np.uint64)
-        value = (code >> np.uint64(part * WIDTH)) & np.uint64(2**WIDTH - 1)
+        value = (code >> np.uint64(part * width)) & mask
         by = np.argsort(value, kind="stable")
-        starts = np.searchsorted(value[by], np.arange(2**WIDTH + 1, dtype=np.uint64))
-        held = np.flatnonzero(np.diff(starts)).astype(np.uint64)
+        held, sizes = np.unique(value, return_counts=True)
         ids, x = items["vec_id"].to_numpy(), _vectors(items)
         norms = np.sqrt((x * x).sum(1))
-        earlier = [np.uint64(p * WIDTH) for p in range(part)]
-        mask = np.uint64(2**WIDTH - 1)
+        earlier = [np.uint64(p * width) for p in range(part)]
         for qid, qcode, q in zip(queries["vec_id"], queries["code"].to_numpy().view(np.uint64), _vectors(queries), strict=True):
-            own = (qcode >> np.uint64(part * WIDTH)) & mask
-            probes = held[np.bitwise_count(held ^ own) <= near].astype(np.int64)
-            if not len(probes):
-                continue
-            at = by[np.concatenate([np.arange(starts[v], starts[v + 1]) for v in probes])]
+            own = (qcode >> np.uint64(part * width)) & mask
+            at = by[np.repeat(np.bitwise_count(held ^ own) <= near, sizes)]
             apart = code[at] ^ qcode
             good = (np.bitwise_count(apart) <= radius) & (ids[at] != qid)
             for p in earlier:  # a pair belongs to the first substring that finds it
@@ -132,14 +143,15 @@ def _probe(items: pd.DataFrame, queries: pd.DataFrame, radius: int, k: int) -> p
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
-def search(items: DataFrame, queries: DataFrame, radius: int, k: int = NEIGHBOURS) -> DataFrame:
+def search(items: DataFrame, queries: DataFrame, radius: int, k: int = NEIGHBOURS, parts: int | None = None) -> DataFrame:
     """query_id, vec_id, score: of each query the k nearest items within the radius, ties to the smaller id."""
-    near, groups = radius // PARTS, 1 << TOP
-    value = lambda p: F.shiftrightunsigned("code", p * WIDTH).bitwiseAND(2**WIDTH - 1)
-    top = lambda p: F.shiftright(value(p), WIDTH - TOP).cast("int")
-    lists = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), top(p).alias("top")) for p in range(PARTS))))
+    parts = parts or parts_for(items.count())
+    width, near, groups = BITS // parts, radius // parts, 1 << TOP
+    value = lambda p: F.shiftrightunsigned("code", p * width).bitwiseAND(2**width - 1)
+    top = lambda p: F.shiftright(value(p), width - TOP).cast("int")
+    lists = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), top(p).alias("top")) for p in range(parts))))
     listed = items.select("*", lists.alias("l")).select("vec_id", "code", "vector", "l.part", "l.top")
-    # at most PARTS * groups rows
+    # at most parts * groups rows
     sizes = {(r["part"], r["top"]): -(-r["n"] // LIST) for r in listed.groupBy("part", "top").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return items.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
@@ -147,12 +159,12 @@ def search(items: DataFrame, queries: DataFrame, radius: int, k: int = NEIGHBOUR
     salts_of = lambda: F.coalesce(salts[F.col("part") * groups + F.col("top")], F.lit(0))
     dealt = listed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts_of()).cast("int"))
     # a list is probed if its top bits alone are not too far
-    tops = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(t).alias("top"), (F.bit_count(top(p).bitwiseXOR(t)) <= near).alias("probed")) for p in range(PARTS) for t in range(groups)))
+    tops = F.array(*(F.struct(F.lit(p).alias("part"), F.lit(t).alias("top"), (F.bit_count(top(p).bitwiseXOR(t)) <= near).alias("probed")) for p in range(parts) for t in range(groups)))
     own = [F.col(c).alias(c) for c in ("vec_id", "code", "vector")]  # new columns, even if queries are some of the items
     asked = queries.select(*own).select("vec_id", "code", "vector", F.explode(F.filter(tops, lambda x: x["probed"])).alias("l")).select("vec_id", "code", "vector", "l.part", "l.top")
     asked = asked.filter(salts_of() > 0).withColumn("salt", F.explode(F.sequence(F.lit(0), salts_of() - 1)))
     keys = ["part", "top", "salt"]
-    found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(lambda a, b: _probe(a, b, radius, k), "query_id long, vec_id long, score double")
+    found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(lambda a, b: _probe(a, b, radius, k, parts), "query_id long, vec_id long, score double")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import zlib
@@ -191,6 +192,37 @@ def test_neighbours_against_brute_force(spark):
         assert hits >= least * 5 * len(got) if radius != 2 else True
 
 
+def test_recall_against_exact_cosine_on_all_vectors(spark):
+    """The query itself, on the largest test table, against cosines of every query with every vector."""
+    path = "/root/testdata/sf0.1"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in A.op3_ann_mih(spark, path).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert set(got) == set(ids[asked].tolist())
+    hits = 0
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -2
+        best = np.lexsort((ids, -s))[:5]
+        hits += len(set(ids[best].tolist()) & got[ids[q]].keys())
+    assert hits >= 0.95 * 5 * len(asked)
+
+
+def test_codes_of_short_vectors_are_learned_and_packing_is_exact():
+    rng = np.random.default_rng(1)
+    short = A.Coder([rng.standard_normal(10) for _ in range(200)])
+    assert short.axes.shape == (10, 64) and np.allclose(np.linalg.norm(short.axes, axis=0), 1)
+    for v in (rng.standard_normal(9), rng.standard_normal(9).astype("<f4").astype(float)):
+        assert (A.unpack(A.pack(v)) == v).all()
+    assert [A.parts_for(n) for n in (0, 300, 10_000, 10**6, 10**12)] == [16, 8, 4, 4, 2]
+
+
 def test_neighbours_of_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [2.0, 2.0])], "vec_id long, embedding array<double>")
     items = A.index(few, A.coder_for(few, "vec_id", "embedding"))
