@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import authorship, evaluation, fusion, similarity, spans, store, streams, structure
+from tessella.plans import authorship, evaluation, fusion, similarity, spans, statistics, store, streams, structure
 
-MODULES = (similarity, fusion, evaluation, authorship, spans, store, streams, structure)
+MODULES = (similarity, fusion, evaluation, statistics, authorship, spans, store, streams, structure)
 
 
 def queries() -> dict:
