@@ -57,4 +57,24 @@ def pan_macro(spark, sf_dir):
 
 MACRO_SQL = f"WITH {_PAN} SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(granularity), 6) AS granularity, round(avg(plagdet), 6) AS plagdet, count(*) AS n_docs FROM x"
 
-QUERIES = {"span_overlaps": (span_overlaps, OVERLAP_SQL), "merge_regions": (merge_regions, MERGE_SQL), "pan_metrics": (pan_metrics, PAN_SQL), "pan_macro": (pan_macro, MACRO_SQL)}
+def pan_micro(spark, sf_dir):
+    """Precision and recall over the characters of all documents together, with granularity and its discount."""
+    t, p = _spans(spark, sf_dir, "view"), _spans(spark, sf_dir, "click")
+    met = spans.overlaps(p, t)
+    best = lambda key, side: side.select("id", "len").join(met.groupBy(F.col(key).alias("id")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k")), "id", "left")
+    a = best("id_a", p).agg(F.sum(F.coalesce("n", F.lit(0))).alias("hit"), F.sum("len").alias("size"))
+    b = best("id_b", t).agg(F.sum(F.coalesce("n", F.lit(0))).alias("found"), F.sum("len").alias("whole"), F.coalesce(F.avg("k"), F.lit(1.0)).alias("granularity"))
+    both = a.join(b)  # one row each
+    share = lambda x, y: F.when(F.coalesce(F.col(y), F.lit(0)) == 0, 1.0).otherwise(F.col(x) / F.col(y))
+    d = both.select(share("hit", "size").alias("precision"), share("found", "whole").alias("recall"), "granularity")
+    f1 = F.when(F.col("precision") + F.col("recall") == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
+    d = d.withColumn("f1", f1).withColumn("plagdet", F.col("f1") / F.log2(1 + F.col("granularity")))
+    return d.select(*[F.round(c, 6).alias(c) for c in d.columns])
+
+
+MICRO_SQL = f"""WITH {_SPAN}, {_MET}, a AS (SELECT sum(coalesce(n, 0)) / sum(len) AS precision FROM p LEFT JOIN (SELECT id_a AS id, max(n) AS n FROM m GROUP BY 1) USING (id)),
+b AS (SELECT sum(coalesce(n, 0)) / sum(len) AS recall, coalesce(avg(k), 1.0) AS granularity FROM t LEFT JOIN (SELECT id_b AS id, max(n) AS n, count(*) AS k FROM m GROUP BY 1) USING (id)),
+c AS (SELECT coalesce(precision, 1.0) AS precision, coalesce(recall, 1.0) AS recall, granularity FROM a, b), d AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM c)
+SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(granularity, 6) AS granularity, round(f1, 6) AS f1, round(f1 / log2(1 + granularity), 6) AS plagdet FROM d"""
+
+QUERIES = {"span_overlaps": (span_overlaps, OVERLAP_SQL), "merge_regions": (merge_regions, MERGE_SQL), "pan_metrics": (pan_metrics, PAN_SQL), "pan_macro": (pan_macro, MACRO_SQL), "pan_micro": (pan_micro, MICRO_SQL)}

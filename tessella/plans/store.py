@@ -3,8 +3,10 @@ for tenants, line items for results, events for webhook deliveries."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessella.operators import records
 from tessella.session import table
 
 
@@ -110,6 +112,116 @@ def dominance(spark, sf_dir):
 
 DOMINANCE_SQL = "SELECT l_partkey, sum(n)::BIGINT AS total, count(*) AS authors, max(n) / sum(n)::DOUBLE AS share, count(*) = 1 AS single FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1"
 
+def tenant_by_key(spark, sf_dir):
+    """The tenant whose hashed key is given, and one of its jobs by id and tenant."""
+    who = table(spark, sf_dir, "customer").filter(F.sha2(F.concat(F.lit("key-"), F.col("c_custkey").cast("string")), 256) == F.sha2(F.lit("key-7"), 256)).select(F.col("c_custkey").alias("o_custkey"), "c_name").limit(1)
+    job = table(spark, sf_dir, "orders").join(who, "o_custkey")
+    return job.groupBy("o_custkey", "c_name").agg(F.max("o_orderkey").alias("last_job"), F.count(F.lit(1)).alias("jobs"))
+
+
+TENANT_SQL = "SELECT o_custkey, c_name, max(o_orderkey) AS last_job, count(*) AS jobs FROM orders JOIN customer ON c_custkey = o_custkey WHERE sha256('key-' || c_custkey::VARCHAR) = sha256('key-7') GROUP BY 1, 2"
+
+
+def status_updates(spark, sf_dir):
+    """Jobs after their status updates, the last of which stands: it sets the time of its own kind and, for a failure, the
+    reason. The shipments of a job are its updates."""
+    jobs = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("queued").alias("status"), *[F.lit(None).cast("timestamp").alias(c) for c in ("started_at", "completed_at", "failed_at")], F.lit(None).cast("string").alias("error"))
+    status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_linestatus") == "O", "processing").otherwise("completed")
+    sent = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), status.alias("status"), F.col("l_shipdate").alias("at"), "l_linenumber")
+    last = records.latest(sent, ["o_orderkey"], ["at", "l_linenumber"])
+    at = lambda s: F.when(F.col("status") == s, F.col("at"))
+    updates = last.select("o_orderkey", "status", at("processing").alias("started_at"), at("completed").alias("completed_at"), at("failed").alias("failed_at"), F.when(F.col("status") == "failed", "returned").alias("error"))
+    return records.merged(jobs, updates, ["o_orderkey"])
+
+
+STATUS_SQL = """WITH u AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'O' THEN 'processing' ELSE 'completed' END AS status, l_shipdate AS t FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) = 1)
+SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, coalesce(status, 'queued') AS status, CASE WHEN status = 'processing' THEN t END AS started_at, CASE WHEN status = 'completed' THEN t END AS completed_at, CASE WHEN status = 'failed' THEN t END AS failed_at, CASE WHEN status = 'failed' THEN 'returned' END AS error
+FROM orders FULL JOIN u ON l_orderkey = o_orderkey"""
+
+
+def idempotent_requests(spark, sf_dir):
+    """Requests by kind that are taken or refused: a key (user and kind) is taken once, and never if a sign-up had it."""
+    e = table(spark, sf_dir, "events").withColumn("key", F.concat_ws(":", "user_id", (F.col("event_id") % 50)))
+    done = records.accepted(e.filter("event_type <> 'signup'"), "key", ["ts", "event_id"], e.filter("event_type = 'signup'"))
+    return done.groupBy("event_type").agg(F.count_if(F.col("accepted")).alias("taken"), F.count_if(~F.col("accepted")).alias("refused"))
+
+
+IDEMPOTENT_SQL = """WITH e AS (SELECT *, user_id || ':' || event_id % 50 AS key FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) = 1 AND key NOT IN (SELECT key FROM e WHERE event_type = 'signup') AS ok FROM e WHERE event_type <> 'signup')
+SELECT event_type, count(*) FILTER (ok) AS taken, count(*) FILTER (NOT ok) AS refused FROM r GROUP BY 1"""
+
+
+def usage_or_create(spark, sf_dir):
+    """A usage row of every tenant for one month, made with zeros where there is none, and what its tier leaves."""
+    o = table(spark, sf_dir, "orders").filter(F.date_format("o_orderdate", "yyyy-MM") == "1996-03")
+    used = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("jobs"), F.round(F.sum("o_totalprice"), 2).alias("amount"))
+    tiers = spark.createDataFrame([("BUILDING", 1), ("MACHINERY", 2), ("AUTOMOBILE", 3)], "c_mktsegment string, allowed long")  # a row for each tier
+    c = table(spark, sf_dir, "customer").join(F.broadcast(tiers), "c_mktsegment", "left").select("c_custkey", F.coalesce("allowed", F.lit(5)).alias("allowed"))
+    return records.with_defaults(c, used, ["c_custkey"], {"jobs": 0, "amount": 0.0}).join(c, "c_custkey").select("c_custkey", "jobs", "amount", F.greatest(F.lit(0), F.col("allowed") - F.col("jobs")).alias("remaining"))
+
+
+USAGE_CREATE_SQL = """WITH u AS (SELECT o_custkey, count(*) AS jobs, round(sum(o_totalprice), 2) AS amount FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '1996-03' GROUP BY 1)
+SELECT c_custkey, coalesce(jobs, 0) AS jobs, coalesce(amount, 0.0) AS amount, greatest(0, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 WHEN 'AUTOMOBILE' THEN 3 ELSE 5 END - coalesce(jobs, 0)) AS remaining FROM customer LEFT JOIN u ON o_custkey = c_custkey"""
+
+
+def usage_history(spark, sf_dir):
+    """The last twelve months of use, newest first."""
+    o = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(F.count(F.lit(1)).alias("jobs"))
+    return o.orderBy(F.desc("period")).limit(12)
+
+
+HISTORY_SQL = "SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS jobs FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 12"
+
+
+def case_timeline(spark, sf_dir):
+    """What an append-only log holds of each case, in order: opened, items, closed with its last shipment."""
+    o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    l = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    opened = o.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderdate").alias("happened"), F.lit("opened").alias("action"), F.lit(0).alias("item"))
+    items = l.select(F.col("l_orderkey").alias("case_id"), F.col("l_shipdate").alias("happened"), F.when(F.col("l_returnflag") == "R", "returned").otherwise("shipped").alias("action"), F.col("l_linenumber").alias("item"))
+    closed = l.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.max("l_shipdate").alias("happened")).select("case_id", "happened", F.lit("closed").alias("action"), F.lit(99).alias("item"))
+    log = opened.unionByName(items).unionByName(closed)
+    return log.select("*", F.row_number().over(Window.partitionBy("case_id").orderBy("happened", "item")).alias("n"))
+
+
+TIMELINE_SQL = """WITH o AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)),
+x AS (SELECT o_orderkey AS case_id, o_orderdate AS happened, 'opened' AS action, 0 AS item FROM o UNION ALL SELECT l_orderkey, l_shipdate, CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'shipped' END, l_linenumber FROM l UNION ALL SELECT l_orderkey, max(l_shipdate), 'closed', 99 FROM l GROUP BY 1)
+SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY happened, item)::INTEGER AS n FROM x"""
+
+
+def cases_by_group(spark, sf_dir):
+    """Cases of one organisation by status, newest first."""
+    o = records.matching(table(spark, sf_dir, "orders"), o_orderstatus="O", o_orderpriority=None, o_custkey=7)
+    return o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(25).select("o_orderkey", "o_orderdate")
+
+
+CASES_SQL = "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' AND o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey LIMIT 25"
+
+
+def vector_upsert(spark, sf_dir):
+    """Vectors after a batch of upserts on (id, job), of which the last of each key stands, counted by label."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("job"), "label")
+    batch = v.filter("vec_id % 3 = 0").select("vec_id", "job", (F.col("label") + 1).alias("label"), F.lit(1).alias("seq"))
+    batch = batch.unionByName(v.filter("vec_id % 6 = 0").select("vec_id", "job", (F.col("label") + 2).alias("label"), F.lit(2).alias("seq")))
+    batch = batch.unionByName(v.filter("vec_id % 10 = 0").select((-F.col("vec_id") - 1).alias("vec_id"), "job", "label", F.lit(1).alias("seq")))
+    after = records.merged(v, records.latest(batch, ["vec_id", "job"], ["seq"]).select("vec_id", "job", "label"), ["vec_id", "job"])
+    return after.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids"))
+
+
+VECTOR_SQL = """SELECT label, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM (SELECT vec_id, CASE WHEN vec_id % 6 = 0 THEN label + 2 WHEN vec_id % 3 = 0 THEN label + 1 ELSE label END AS label FROM embeddings UNION ALL SELECT -vec_id - 1, label FROM embeddings WHERE vec_id % 10 = 0) GROUP BY 1"""
+
+
+def first_author(spark, sf_dir):
+    """Who supplied a part first, and whether another supplier has most of it since."""
+    l = table(spark, sf_dir, "lineitem")
+    n = l.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("first"))
+    t = n.groupBy("l_partkey").agg(F.min_by("l_suppkey", F.struct("first", "l_suppkey")).alias("author"), F.max_by("l_suppkey", F.struct("n", -F.col("l_suppkey"))).alias("main"))
+    return t.select("l_partkey", "author", "main", (F.col("author") != F.col("main")).alias("suspicious"))
+
+
+AUTHOR_SQL = """WITH n AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2), m AS (SELECT l_partkey, l_suppkey AS main FROM n QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) = 1),
+f AS (SELECT l_partkey, l_suppkey AS author FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) = 1)
+SELECT l_partkey, author, main, author <> main AS suspicious FROM f JOIN m USING (l_partkey)"""
+
 QUERIES = {
     "jobs_page": (jobs_page, JOBS_SQL),
     "result_page": (result_page, RESULT_SQL),
@@ -121,4 +233,13 @@ QUERIES = {
     "orphan_delete": (orphan_delete, ORPHAN_SQL),
     "batch_summary": (batch_summary, SUMMARY_SQL),
     "dominance": (dominance, DOMINANCE_SQL),
+    "tenant_by_key": (tenant_by_key, TENANT_SQL),
+    "status_updates": (status_updates, STATUS_SQL),
+    "idempotent_requests": (idempotent_requests, IDEMPOTENT_SQL),
+    "usage_or_create": (usage_or_create, USAGE_CREATE_SQL),
+    "usage_history": (usage_history, HISTORY_SQL),
+    "case_timeline": (case_timeline, TIMELINE_SQL),
+    "cases_by_group": (cases_by_group, CASES_SQL),
+    "vector_upsert": (vector_upsert, VECTOR_SQL),
+    "first_author": (first_author, AUTHOR_SQL),
 }
