@@ -95,3 +95,37 @@ def winnow(hashes: Column, window: int, rightmost: bool = False) -> Column:
         return F.when(F.size(h) >= window, every).when(F.size(h) > 0, F.sequence(F.lit(1), F.size(h))).otherwise(F.array().cast("array<int>"))
 
     return let(hashes, least)
+
+
+#: Tokens that nearly every program has.
+BOILERPLATE = ["import", "from", "sys", "os", "def", "main", "if", "__name__", "__main__"]
+
+
+def without_boilerplate(toks: Column) -> Column:
+    """The tokens less those that nearly every program has; all of them if nothing else is left."""
+    return let(F.filter(toks, lambda t: ~t.isin(BOILERPLATE)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(toks))
+
+
+def normalized_names(toks: Column) -> Column:
+    """Names by the place of their first occurrence among the names, numbers as one token, keywords as they are."""
+    number, word = F.lit(r"^[0-9]+$"), F.lit(r"^[A-Za-z_]\w*$")
+
+    def of(w: Column) -> Column:
+        names = F.array_distinct(F.filter(w, lambda t: F.regexp_like(t, word) & ~t.isin(KEYWORDS)))
+        return let(names, lambda n: F.transform(w, lambda t: F.when(t.isin(KEYWORDS), t).when(F.regexp_like(t, number), F.lit("__NUM__")).when(F.array_position(n, t) > 0, F.concat(F.lit("__VAR"), (F.array_position(n, t) - 1).cast("string"), F.lit("__"))).otherwise(t)))
+
+    return let(toks, of)
+
+
+def variable_kinds(toks: Column) -> Column:
+    """What kind of name each token is: a loop counter, the object itself, a dunder, a constant, private, or any other."""
+    kind = lambda t: (
+        F.when(t.isin("i", "j", "k"), "LOOP_VAR").when(t.isin("self", "this"), "SELF").when(F.regexp_like(t, F.lit("^__.*__$")), "DUNDER")
+        .when(F.regexp_like(t, F.lit("^[A-Z][A-Z0-9_]+$")), "CONST").when(F.startswith(t, F.lit("_")), "PRIVATE_VAR").otherwise("VAR")
+    )
+    return F.transform(toks, kind)
+
+
+def line_windows(text: Column, size: int = 25, step: int = 20) -> Column:
+    """Windows of lines that overlap; a short text is one window."""
+    return let(lines(text), lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - (size - step) - 1, F.lit(0)), F.lit(step)), lambda i: F.array_join(F.slice(x, i + 1, F.lit(size)), "\n")))
