@@ -119,7 +119,7 @@ _EIGHT = {"perplexity": "perp", "burstiness": "burst", "vocabulary": "vocab", "w
 _STEPS = ", ".join(f"CASE WHEN n_{of} < {a} THEN 0.0 WHEN n_{of} < {b} THEN 0.3 WHEN n_{of} < {c} THEN 0.6 ELSE 1.0 END::DOUBLE AS r_{k}" for k, (of, a, b, c) in signals.TRUST.items())
 _w = lambda k: f"r_{k} * {signals.WEIGHTS[k]}::DOUBLE"
 _some = lambda test: " + ".join(f"({k} {test}::DOUBLE)::INT" for k in _EIGHT)
-FUSION_SQL = f"""{_ALL}, z AS (SELECT doc_id, {', '.join(f'round({k}, 6)::DOUBLE AS {k}' for k in _EIGHT)}, len(w) AS n_tokens, len(l) AS n_lines, len([x for x in l if regexp_matches(x, '\S')]) AS n_filled, {_n(signals.FUNCTION)} AS n_functions
+FUSION_SQL = f"""{_ALL}, z AS (SELECT doc_id, {', '.join(f'round({k}, 6)::DOUBLE AS {k}' for k in _EIGHT)}, len(w) AS n_tokens, len(l) AS n_lines, len([x for x in l if regexp_matches(x, '\\S')]) AS n_filled, {_n(signals.FUNCTION)} AS n_functions
  FROM tk {' '.join(f'JOIN {v} USING (doc_id)' for v in _EIGHT.values())}),
 s AS (SELECT *, {_STEPS}, CASE WHEN n_lines < 5 THEN 0.5 WHEN n_lines < 20 THEN 0.7 ELSE 1.0 END::DOUBLE AS r_patterns, CASE WHEN n_filled < 10 THEN 0.3 ELSE 0.6 END::DOUBLE AS r_entropy FROM z),
 f AS (SELECT *, {' + '.join(map(_w, _EIGHT))} AS whole, {' + '.join(f'{k} * ({_w(k)})' for k in _EIGHT)} AS total, ({' + '.join(f'r_{k}' for k in _EIGHT)}) / 8 AS mt, ({' + '.join(_EIGHT)}) / 8 AS mean, ({' + '.join(f'{k} * {k}' for k in _EIGHT)}) / 8 AS sq,
