@@ -6,7 +6,8 @@ one rule out, is a bitwise operation on the ledger and never reads a text again.
 
 Defined results: a null text counts as an empty one, which has no words and fails ``too_short``. Repeated rows are
 judged each for itself. An empty table gives an empty ledger. Other columns of the input are not carried along, so names
-that clash do no harm. Long texts need no limit: the work on a text of n words is n log n.
+that clash do no harm. Long texts need no limit: the work on a text of n words is n log n. Windows of words are compared
+as 64-bit hashes, which are not looked up again: exact but for a collision.
 """
 
 from __future__ import annotations
