@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import authorship, evaluation, forensics, fusion, similarity, spans, statistics, store, streams, structure
+from tessella.plans import authorship, evaluation, forensics, fusion, language, similarity, spans, statistics, store, streams, structure
 
-MODULES = (similarity, fusion, evaluation, statistics, forensics, authorship, spans, store, streams, structure)
+MODULES = (similarity, fusion, evaluation, statistics, forensics, authorship, language, spans, store, streams, structure)
 
 
 def queries() -> dict:

@@ -52,7 +52,20 @@ def rate_limited(spark, sf_dir):
     return windows.rate_limit(_events(spark, sf_dir), ((900, 1), (3600, 3), (86400, 10))).select("key", "id", "accepted")
 
 
+def rate_remaining(spark, sf_dir):
+    """What the limits of three an hour and ten a day leave each user at the time of the last event of all."""
+    e = _events(spark, sf_dir).select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    now = e.agg(F.max("t").alias("now"))
+    n = e.join(F.broadcast(now)).groupBy("key").agg(*[F.count_if(F.col("t") > F.col("now") - s * 1_000_000).alias(k) for k, s in (("h", 3600), ("d", 86400))])  # now is one row
+    return n.select("key", F.greatest(F.lit(0), 3 - F.col("h")).alias("hour_left"), F.greatest(F.lit(0), 10 - F.col("d")).alias("day_left"))
+
+
+REMAINING_SQL = """WITH e AS (SELECT user_id AS key, epoch_us(ts) AS t FROM events), n AS (SELECT max(t) AS now FROM e)
+SELECT key, greatest(0, 3 - count(*) FILTER (t > now - 3600000000)) AS hour_left, greatest(0, 10 - count(*) FILTER (t > now - 86400000000)) AS day_left FROM e, n GROUP BY key"""
+
+
 QUERIES = {
+    "rate_remaining": (rate_remaining, REMAINING_SQL),
     "typing_bursts": (typing_bursts, BURST_SQL),
     "sessions": (sessions, SESSION_SQL),
     "monthly_events": (monthly_events, MONTHLY_SQL),
