@@ -14,9 +14,9 @@ serialized ids of at most ``SAMPLE_DOCS`` documents, those with the least hash,
 refuses a dictionary whose hash differs.
 
 Ids come from the tokenizers library as the file sets it up, with ``add_special_tokens=False``. The file's own pattern
-begins a new word at every space before another character, so a text is cut there and each distinct part encoded once:
-all new parts of a batch go to the library as one text, in which a part's first id is the only one that begins with a
-space. Tests hold the ids equal to the library's for whole texts.
+begins a new word at every space, and at every line feed, before another character, so a text is cut there and each
+distinct part of a lot of texts encoded once: the parts go to the library as one text, in which a part's first id is the
+only one that begins with a space or line feed. Tests hold the ids equal to the library's for whole texts.
 
 A shard is written under a temporary name and moved, so that a task which runs twice leaves one whole file.
 
@@ -35,7 +35,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,26 +50,27 @@ MAGIC = b"TSLTOK01"
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u4"), ("offset", "<u8"), ("size", "<u4")])
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Parts of texts that a worker remembers in each of two generations, and their most characters.
-PARTS, PART_CHARS = 1 << 18, 64
-#: Bytes of texts that are encoded at once; new parts that go to the library at once.
-AT_ONCE, NEW = 1 << 22, 4096
+#: Bytes of texts whose distinct parts are encoded once; parts that go to the library as one text.
+AT_ONCE, TOGETHER = 1 << 23, 4096
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 512, 32_768, 65_536, 3
 _NONE = np.iinfo(np.int64).min
 
 
-#: Texts with a space that begins no word, since white space or the end follows; a space that begins one. All white space
-#: of Unicode, and more, counts here: a text that is not cut is as right.
-ODD = "\\x20(?:[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|\\z)"
-CUT = re.compile(r" (?=\S)")
+#: Texts with a space or line feed that begins no word, since white space or the end follows; a space that begins one. All
+#: white space of Unicode, and more, counts here: a text that is cut less is as right.
+ODD = "[\\x20\\n](?:[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|\\z)"
+#: Letters and one mark after them, which the pattern parts.
+MARKED = "^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,;:!?])$"
 
 
-class Encoder:
-    """Ids of texts as bytes (unsigned 32-bit, little-endian), by the library. Memory is bounded: two generations of
-    ``PARTS`` short parts; longer parts are encoded each time."""
+def places(size: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Indices of ranges that begin at ``begin`` and have ``size`` items, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
 
-    #: Letters and one mark after them, which the pattern parts.
-    MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?])")
+class Encoder:
+    """Ids of texts by the library, distinct parts once: a part is what stands between spaces or line feeds, with the one
+    before it. Nothing is kept from one lot of texts to the next, so memory is bounded by the lot."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -78,75 +78,75 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         words = self.library.get_vocab()
-        self.begins = np.zeros(max(words.values()) + 1, bool)
-        self.begins[[i for w, i in words.items() if w.startswith("Ġ")]] = True
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.long: list[str] = []
-        self.marks = {m: self.plain([m])[0] for m in ".,;:!?"}
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def spaced(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts without a space, each after a space."""
-        ids = np.array(self.library.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        at, data = (np.flatnonzero(self.begins[ids]) * 4).tolist(), ids.tobytes()
-        if len(at) != len(parts):  # a part that holds a control string with a space, as no known file has
-            return self.plain([" " + p for p in parts])
-        return [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)]
-
-    def learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of all these parts, each after a space."""
-        now, old = self.now, self.old
-        for p in self.long:
-            now.pop(p, None)
-        if len(now) >= PARTS:
-            old, now = self.old, self.now = now, {}
-        new = parts - now.keys()
-        for p in new & old.keys():
-            now[p] = old[p]
-        new -= old.keys()
-        marked = {p: m for p in new if (m := self.MARKED.fullmatch(p))}
-        whole = list((new - marked.keys()) | ({m[1] for m in marked.values()} - now.keys()))
-        found: dict[str, bytes] = {}
-        joined = [p for p in whole if " " not in p]
-        for i in range(0, len(joined), NEW):
-            found.update(zip(joined[i : i + NEW], self.spaced(joined[i : i + NEW]), strict=True))
-        others = [p for p in whole if " " in p]
-        found.update(zip(others, self.plain([" " + p for p in others]), strict=True))
-        now.update(found)
-        for p, m in marked.items():
-            now[p] = now[m[1]] + self.marks[m[2]]
-        self.long = [p for p in (*whole, *marked) if len(p) > PART_CHARS]
-        return now
+        begins = lambda sign: np.array([w.startswith(sign) for w, _ in sorted(words.items(), key=lambda x: x[1])])
+        self.begins = {" ": begins("Ġ"), "\n": begins("Ċ")}
+        self.marks = {m: int(self.plain([m])[0][0]) for m in ".,;:!?"}
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def parts(self, words: pa.Array, sign: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, one after the other, and numbers of ids of words without a space or line feed, each with ``sign`` before it."""
+        at = np.append(np.arange(0, len(words), TOGETHER), len(words)).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), words), sign).to_pylist()
+        ids = np.concatenate([np.zeros(0, "<u4"), *self.plain([sign + t for t in texts])])
+        start = np.flatnonzero(self.begins[sign][ids])
+        if len(start) != len(words):  # a control string, or a token of several, begins with the sign, as in no known file
+            each = self.plain([sign + w for w in words.to_pylist()])
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.array([len(x) for x in each], np.int64)
+        return ids, np.diff(np.append(start, len(ids)))
+
+    def marked(self, words: pa.Array, sign: str) -> tuple[np.ndarray, np.ndarray]:
+        """As ``parts``; a mark after letters is a token of its own, so words that differ in it alone are encoded once."""
+        found = pc.extract_regex(words, MARKED)
+        mark = pc.fill_null(pc.index_in(found.field("mark"), pa.array(list(self.marks))), -1).to_numpy()
+        has = pc.is_valid(found)
+        stems = pc.if_else(has, found.field("stem"), words).dictionary_encode()
+        ids, size = self.parts(stems.dictionary, sign)
+        stem, n = stems.indices.to_numpy(), (mark >= 0).astype(np.int64)
+        whole = size[stem] + n
+        out = ids[np.minimum(places(whole, (np.cumsum(size) - size)[stem]), len(ids) - 1)] if len(ids) else ids
+        out[(np.cumsum(whole) - 1)[mark >= 0]] = np.array(list(self.marks.values()), "<u4")[mark[mark >= 0]]
+        return out, whole
 
     def some(self, texts: pa.Array) -> Iterator[bytes]:
-        """Ids of a few texts, none of them null, with the end id. Arrow splits texts and finds the distinct parts."""
+        """Ids of a few texts, none of them null, with the end id. Arrow splits texts and finds the distinct parts; a text
+        with a space or line feed before other white space goes to the library whole."""
         odd = pc.match_substring_regex(texts, ODD)
-        even = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
-        cut = [CUT.split(t) for t in texts.filter(odd).to_pylist()]
-        flat = pa.concat_arrays([even.flatten(), pa.array(chain.from_iterable(cut), pa.string())])
-        n_parts = np.concatenate((even.value_lengths().to_numpy(), np.array([len(c) for c in cut], np.int32)))
-        first = np.cumsum(n_parts) - n_parts
-        distinct = flat.dictionary_encode()
-        values = distinct.dictionary.to_pylist()
-        known = self.learn(set(values))
-        # ids of the distinct parts after a space, then those of the first parts of texts, which follow none
-        found = [*map(known.__getitem__, values), *self.plain(flat.take(pa.array(first)).to_pylist())]
-        ids, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) for x in found]) // 4
-        begin = np.cumsum(size) - size
-        part = distinct.indices.to_numpy().astype(np.int64)
-        part[first] = len(values) + np.arange(len(first))
+        lines = pc.split_pattern(texts.filter(pc.invert(odd)), "\n")
+        even = pc.split_pattern(lines.flatten(), " ")
+        flat, n_lines, n_words = even.flatten(), lines.value_lengths().to_numpy(), even.value_lengths().to_numpy()
+        line = np.cumsum(n_words) - n_words  # the first part of each line, and of each text
+        first = line[np.cumsum(n_lines) - n_lines]
+        spaced, fed = np.ones(len(flat), bool), np.zeros(len(flat), bool)
+        spaced[line], fed[line], fed[first] = False, True, False
+        kinds = []
+        for held, sign in ((spaced, " "), (fed, "\n")):
+            own = flat.filter(pa.array(held)).dictionary_encode()
+            kinds.append((held, own.indices.to_numpy(), *self.marked(own.dictionary, sign)))
+        starts = self.plain(flat.take(pa.array(first)).to_pylist())
+        ids = np.concatenate([np.zeros(0, "<u4"), *(k[2] for k in kinds), *starts])
+        size = np.concatenate([*(k[3] for k in kinds), np.array([len(x) for x in starts], np.int64)]).astype(np.int64)
+        part, base = np.zeros(len(flat), np.int64), 0
+        for held, index, _, sizes in kinds:
+            part[held] = base + index
+            base += len(sizes)
+        part[first] = base + np.arange(len(first))
         n = size[part]
         row_ends = np.cumsum(np.add.reduceat(n, first) + 1) if len(first) else np.zeros(0, np.int64)
         out = np.full(int(n.sum()) + len(first), END_ID, "<u4")
         held = np.ones(len(out), bool)
         held[row_ends - 1] = False
-        out[held] = ids[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        data, place = out.tobytes(), np.concatenate(([0], row_ends * 4)).tolist()
-        rows = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable").tolist()
-        return (data[place[r] : place[r + 1]] for r in rows)
+        out[held] = ids[places(n, (np.cumsum(size) - size)[part])]
+        data, place, end = out.tobytes(), np.concatenate(([0], row_ends * 4)).tolist(), np.array([END_ID], "<u4").tobytes()
+        whole = iter([x.tobytes() + end for x in self.plain(texts.filter(odd).to_pylist())])
+        row = 0
+        for o in odd.to_pylist():
+            if o:
+                yield next(whole)
+            else:
+                yield data[place[row] : place[row + 1]]
+                row += 1
 
     def batch(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text, with the end id."""

@@ -380,16 +380,19 @@ def test_an_id_of_many_rows_spans_shards(spark, tmp_path):
         at += n
 
 
-def test_encoder_forgets_and_still_agrees(monkeypatch):
+def test_encoder_agrees_whatever_the_lot(monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(T, "PARTS", 20)
-    monkeypatch.setattr(T, "AT_ONCE", 200)
     tk, own = Tokenizer.from_file(public.path(T.VOCABULARY)), T.Encoder(public.path(T.VOCABULARY))
     rng = random.Random(4)
-    texts = [" ".join(rng.choice(["water", "Water.", "x" * 90, "a\nb", "", "river,", "<|endoftext|>", f"n{i % 7}"]) for _ in range(12)) for i in range(300)] + [None]
-    assert [np.frombuffer(b, "<u4")[:-1].tolist() for b in own.batch(pa.array(texts, pa.string()))] == [tk.encode(t or "", add_special_tokens=False).ids for t in texts]
-    assert len(own.now) < 200 and not any(len(p) > T.PART_CHARS for p in own.now.keys() - set(own.long))
+    texts = ["".join(rng.choice([" ", "\n", " ", "\n", "  "][: 2 + i % 4]) + rng.choice(["water", "Water.", "x" * 90, "a\nb", "", "river,", "<|endoftext|>", "é!", "\t", f"n{i % 7}", "7;"]) for _ in range(12)) for i in range(300)]
+    want = [tk.encode(t, add_special_tokens=False).ids for t in (*texts, "")]
+    for at_once, together in ((1 << 23, 4096), (200, 3)):
+        monkeypatch.setattr(T, "AT_ONCE", at_once)
+        monkeypatch.setattr(T, "TOGETHER", together)
+        assert [np.frombuffer(b, "<u4")[:-1].tolist() for b in own.batch(pa.array([*texts, None], pa.string()))] == want
+    monkeypatch.setattr(own, "begins", {k: ~v for k, v in own.begins.items()})
+    assert [np.frombuffer(b, "<u4")[:-1].tolist() for b in own.batch(pa.array(texts[:40], pa.string()))] == want[:40]
 
 
 @pytest.mark.parametrize("seed", range(3))
