@@ -16,6 +16,8 @@ MODULES = {
     "html_extract": "op9_html_extraction",
     "chat_format": "op8_chat_formatting",
     "jaccard_join": "op10_jaccard_join",
+    "merkle_manifest": "op11_merkle_manifest",
+    "warc_store": "op13_warc_store",
 }
 
 
