@@ -17,6 +17,7 @@ MODULES = {
     "chat_format": "op8_chat_formatting",
     "jaccard_join": "op10_jaccard_join",
     "merkle_manifest": "op11_merkle_manifest",
+    "phrase_mining": "op12_phrase_mining",
     "warc_store": "op13_warc_store",
 }
 
