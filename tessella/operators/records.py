@@ -15,6 +15,14 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(last).select(*keys, *[F.col(f"__last.`{c}`").alias(c) for c in others])
 
 
+def folded(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """What a run of updates leaves of each key: of every column the value of the last update that sets it (is not null
+    there). Updates that are equal in ``order`` fold by value, the greatest last. Summed before the shuffle."""
+    others = [c for c in updates.columns if c not in (*keys, *order)]
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("__v")))).alias(c) for c in others]
+    return updates.groupBy(*keys).agg(*last).select(*keys, *[F.col(f"`{c}`.__v").alias(c) for c in others])
+
+
 def merged(table: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """The table after the updates, one for each key at most: a value that is not null replaces the old one, and a new key
     becomes a row. The columns are the table's."""

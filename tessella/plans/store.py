@@ -123,20 +123,23 @@ TENANT_SQL = "SELECT o_custkey, c_name, max(o_orderkey) AS last_job, count(*) AS
 
 
 def status_updates(spark, sf_dir):
-    """Jobs after their status updates, the last of which stands: it sets the time of its own kind and, for a failure, the
-    reason. The shipments of a job are its updates."""
-    jobs = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("queued").alias("status"), *[F.lit(None).cast("timestamp").alias(c) for c in ("started_at", "completed_at", "failed_at")], F.lit(None).cast("string").alias("error"))
+    """Jobs after their status updates, folded in order of time: the last one is the status, and each time, and a failure's
+    reason, is that of the last update that sets it, so a failed job keeps the time when it started. The shipments of a job
+    are its updates. Times have no zone, as in the table."""
+    sent = table(spark, sf_dir, "lineitem")
+    kind = sent.schema["l_shipdate"].dataType
+    jobs = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("queued").alias("status"), *[F.lit(None).cast(kind).alias(c) for c in ("started_at", "completed_at", "failed_at")], F.lit(None).cast("string").alias("error"))
     status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_linestatus") == "O", "processing").otherwise("completed")
-    sent = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), status.alias("status"), F.col("l_shipdate").alias("at"), "l_linenumber")
-    last = records.latest(sent, ["o_orderkey"], ["at", "l_linenumber"])
+    sent = sent.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").alias("at"), "l_linenumber", status.alias("status"))
     at = lambda s: F.when(F.col("status") == s, F.col("at"))
-    updates = last.select("o_orderkey", "status", at("processing").alias("started_at"), at("completed").alias("completed_at"), at("failed").alias("failed_at"), F.when(F.col("status") == "failed", "returned").alias("error"))
-    return records.merged(jobs, updates, ["o_orderkey"])
+    updates = sent.select("*", at("processing").alias("started_at"), at("completed").alias("completed_at"), at("failed").alias("failed_at"), F.when(F.col("status") == "failed", "returned").alias("error"))
+    return records.merged(jobs, records.folded(updates, ["o_orderkey"], ["at", "l_linenumber"]), ["o_orderkey"])
 
 
-STATUS_SQL = """WITH u AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'O' THEN 'processing' ELSE 'completed' END AS status, l_shipdate AS t FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) = 1)
-SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, coalesce(status, 'queued') AS status, CASE WHEN status = 'processing' THEN t END AS started_at, CASE WHEN status = 'completed' THEN t END AS completed_at, CASE WHEN status = 'failed' THEN t END AS failed_at, CASE WHEN status = 'failed' THEN 'returned' END AS error
-FROM orders FULL JOIN u ON l_orderkey = o_orderkey"""
+STATUS_SQL = """WITH u AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'O' THEN 'processing' ELSE 'completed' END AS status, l_shipdate AS t, l_linenumber AS k FROM lineitem),
+f AS (SELECT l_orderkey, (list(status ORDER BY t DESC, k DESC, status DESC))[1] AS status, max(t) FILTER (status = 'processing') AS started_at, max(t) FILTER (status = 'completed') AS completed_at,
+  max(t) FILTER (status = 'failed') AS failed_at, max(CASE WHEN status = 'failed' THEN 'returned' END) AS error FROM u GROUP BY 1)
+SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, coalesce(f.status, 'queued') AS status, started_at, completed_at, failed_at, error FROM orders FULL JOIN f ON l_orderkey = o_orderkey"""
 
 
 def idempotent_requests(spark, sf_dir):

@@ -25,7 +25,7 @@ def duck():
 
 
 def cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "null"
     if isinstance(v, (bool, str)) or type(v).__name__ == "bool":
         return str(v)
@@ -45,6 +45,17 @@ def test_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+@pytest.mark.parametrize("name", ["status_updates", "case_timeline", "webhook_pending", "first_author", "usage_monthly"])
+def test_times_do_not_depend_on_the_session_zone(spark, duck, name, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert rows(QUERIES[name](spark, DIR).toPandas()) == rows(duck.execute(SQL[name]).df())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
