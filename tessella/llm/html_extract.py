@@ -16,8 +16,10 @@ it is long. Names that a sample shows to stand beside the content are learned wi
 standing outside the content.
 
 Names lower a weight and never decide alone: only a whole class, id or role counts (``comments`` or ``comments-area``,
-not ``comments-open``), and if names put a longer article or main part beside than what is left, or nearly all of a
-page, they name a wrapper and are not heeded on it.
+not ``comments-open``), and a name may stand on a wrapper of the content. That is decided for each wrapper, and only where
+no article or main element outside named parts holds text: a wrapper is not heeded if it holds one article, longer than
+what is left, or nearly all dense text of a page without articles; what is named inside it, or elsewhere, stays named. A
+part with several articles is a list of them, and one with the name of reader comments never holds the content.
 
 Text: character references decoded, white space inside a block one space, blocks in page order joined by one space.
 Scripts, styles and comments are never text. An inline tag does not separate words, any other does.
@@ -48,7 +50,7 @@ SAMPLE_PAGES, SAMPLE_CHARS = 256, 65_536
 DENSE, LOOSE = 25, 10
 #: What the scan loses at most between two units of positive weight, in words.
 GAP = 20.0
-#: Names are not heeded if they leave less than one word in so many.
+#: A named part holds the content if outside it stands less than one word in so many of its dense ones.
 WRAPPED = 10
 #: A name is learned from so many words on so many pages.
 NAME_WORDS, NAME_PAGES = 50, 5
@@ -77,6 +79,8 @@ NAMES = frozenset(
     " nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted recommended related remark replies reply respond search share sharing sidebar signup social sponsor"
     " sponsored subscribe subscription teaser toolbar widget".split()
 )
+READERS = frozenset("comment commentlist comments disqus remark replies reply respond".split())
+NAMES |= READERS
 PLAIN = frozenset("area bar block body bottom box buttons container content form global group inner item items left links list main message module page panel primary right secondary section site slot strip thread top unit wrap wrapper".split())
 
 #: Prior means of the regression by kind of feature, and how many words the labelled ones count as in all. What every place
@@ -93,6 +97,7 @@ class Unit:
     mark: str
     tags: list[str]
     main: int = 0
+    wrapper: int = 0
     texts: list[str] = field(default_factory=list)
     words: int = 0
     linked: int = 0
@@ -101,6 +106,27 @@ class Unit:
     def beside(self) -> bool:
         return self.mark[:1] == "." or self.mark in BESIDE
 
+    @property
+    def dense(self) -> bool:
+        return self.words >= DENSE and 4 * self.linked <= self.words
+
+
+@dataclass
+class Wrappers:
+    """The elements of a page that a name puts beside the content, numbered from 1: the one around each, and its name; and
+    of each element of MAIN in or at one, the innermost around it, and itself or that one."""
+
+    around: list[int] = field(default_factory=lambda: [0])
+    names: list[str] = field(default_factory=lambda: [""])
+    mains: dict[int, tuple[int, int]] = field(default_factory=dict)
+
+    def chain(self, k: int) -> list[int]:
+        out = []
+        while k:
+            out.append(k)
+            k = self.around[k]
+        return out
+
 
 @dataclass
 class Weights:
@@ -122,14 +148,15 @@ def beside_name(name: str, learned: frozenset[str] = frozenset()) -> str | None:
     return said[0] if said and all(p in NAMES or p in PLAIN for p in parts) else None
 
 
-def units(page: str | None, learned: frozenset[str] = frozenset(), heed: bool = True, each_name=None) -> Iterator[Unit]:
+def units(page: str | None, learned: frozenset[str] = frozenset(), unheeded: frozenset[int] = frozenset(), each_name=None, wrappers: Wrappers | None = None) -> Iterator[Unit]:
     """The units of a page in order. ``mark`` is the innermost element or name that says something of the place: an
     element of MAIN or BESIDE, or a dot and a name; inside a part that stands beside, that of the part. ``main`` numbers
-    the elements of MAIN in or at a part that a name puts beside. Without ``heed`` names say nothing. ``each_name`` gets the names around each unit."""
-    page = page or ""
+    the elements of MAIN in or at a part that a name puts beside, ``wrapper`` the innermost named element. The names of
+    ``unheeded`` elements say nothing. ``each_name`` gets the names around each unit."""
+    page, wrappers = page or "", wrappers or Wrappers()
     # an entry: tag, hidden, mark, number of the main element, in a link, block, index of the paragraph that a block would
-    # end, in a main element, names
-    stack: list[tuple] = [("", False, "", 0, False, "body", -1, False, ())]
+    # end, in a main element, names, innermost named element
+    stack: list[tuple] = [("", False, "", 0, False, "body", -1, False, (), 0)]
     opened: Counter[str] = Counter()
     at, mains, tags = 0, 0, []
     unit: Unit | None = None
@@ -137,7 +164,7 @@ def units(page: str | None, learned: frozenset[str] = frozenset(), heed: bool =
 
     def text(part: str) -> None:
         nonlocal unit, tags
-        _, hidden, mark, main, linked, block, _, _, names = stack[-1]
+        _, hidden, mark, main, linked, block, _, _, names, wrapper = stack[-1]
         if hidden:
             return
         n = len(part.split())
@@ -146,7 +173,7 @@ def units(page: str | None, learned: frozenset[str] = frozenset(), heed: bool =
                 return
             if unit is not None:
                 done.append(unit)
-            unit, tags = Unit(block, mark, tags, main), []
+            unit, tags = Unit(block, mark, tags, main, wrapper), []
             if each_name:
                 each_name(unit, names)
         unit.texts.append(part)
@@ -199,9 +226,14 @@ def units(page: str | None, learned: frozenset[str] = frozenset(), heed: bool =
             continue
         if not inline and name not in HIDDEN and stack[-1][6] > 0:  # a block ends an open paragraph
             pop(stack[-1][6])
-        _, hidden, mark, main, linked, block, para, within, names = stack[-1]
-        own = names_of(attrs)
-        said = next((b for n in own if (b := beside_name(n, learned))), None) if heed and name not in ("body", "html", "main") else None
+        _, hidden, mark, main, linked, block, para, within, names, wrapper = stack[-1]
+        own, outside = names_of(attrs), wrapper
+        said = next((b for n in own if (b := beside_name(n, learned))), None) if name not in ("body", "html", "main") else None
+        if said:
+            wrappers.around.append(wrapper)
+            wrappers.names.append(said)
+            wrapper = len(wrappers.names) - 1
+            said = None if wrapper in unheeded else said
         if not (mark[:1] == "." or mark in BESIDE):
             if said:
                 mark = "." + said
@@ -210,8 +242,10 @@ def units(page: str | None, learned: frozenset[str] = frozenset(), heed: bool =
         if name in MAIN:
             mains, within = mains + 1, True
             main = mains if mark[:1] == "." else 0
+            if main:
+                wrappers.mains[main] = (outside, wrapper)
         para = len(stack) if name == "p" else para if name in INLINE else -1
-        stack.append((name, hidden or name in HIDDEN, mark, main, linked or name == "a", block if name in INLINE else name, para, within, (*names, *own) if each_name else ()))
+        stack.append((name, hidden or name in HIDDEN, mark, main, linked or name == "a", block if name in INLINE else name, para, within, (*names, *own) if each_name else (), wrapper))
         opened[name] += 1
     if at < len(page):
         if stack[-1][0] == "head" and not page[at:].isspace():
@@ -329,28 +363,47 @@ def word_weight(u: Unit, weights: Weights) -> float:
 
 
 def extract(page: str | None, weights: Weights) -> str:
-    """The main text. If names put nearly all of it beside the content, or a longer article, they are not heeded."""
-    text, longest = _extract(page, weights, True)
-    kept = len(text.split())
-    if page and (longest > kept or len(page) > WRAPPED * len(text)) and NAMED.search(page):
-        whole, _ = _extract(page, weights, False)
-        if len(whole.split()) > (WRAPPED * kept if longest <= kept else kept):
-            return whole
+    """The main text. Where names put it beside, those on its wrappers are not heeded, and all others are."""
+    wrappers = Wrappers()
+    text, found, chosen = _extract(page, weights, wrappers)
+    if len(wrappers.names) > 1 and not any(u.mark in MAIN and u.words for u in chosen):
+        if unheeded := wrapping(found, chosen, wrappers):
+            return _extract(page, weights, Wrappers(), unheeded)[0]
     return text
 
 
-def _extract(page: str | None, weights: Weights, heed: bool) -> tuple[str, int]:
-    """The text, and the words of the longest element of MAIN that stands beside the content by a name."""
-    found = list(units(page, weights.names, heed))
+def wrapping(found: list[Unit], chosen: list[Unit], wrappers: Wrappers) -> frozenset[int]:
+    """The named elements around the content, where none of it stands in an article or main element."""
+    kept = sum(u.words for u in chosen)
+    mains, dense = Counter(), Counter()
+    for u in found:
+        if u.main and u.wrapper:
+            mains[u.main] += u.words - u.linked
+        elif u.wrapper and u.dense:
+            dense[u.wrapper] += u.words
+    held = Counter(wrappers.mains[m][0] for m in mains)
+    readers = lambda k: any(wrappers.names[w] in READERS for w in wrappers.chain(k))
+    whole = any(u.dense for u in chosen)
+    alone = [m for m in mains if held[wrappers.mains[m][0]] == 1 and not readers(wrappers.mains[m][0]) and not (whole and readers(wrappers.mains[m][1]))]
+    best = max(alone, key=lambda m: mains[m], default=0)
+    if best and mains[best] > kept:
+        return frozenset(wrappers.chain(wrappers.mains[best][1]))
+    best = max(dense, key=lambda w: dense[w], default=0)
+    if dense[best] > WRAPPED * kept and not readers(best) and not whole:
+        around = wrappers.chain(best)
+        return frozenset(around) | {w for w in dense if wrappers.names[w] == wrappers.names[best] and wrappers.around[w] == wrappers.around[best]}
+    return frozenset()
+
+
+def _extract(page: str | None, weights: Weights, wrappers: Wrappers, unheeded: frozenset[int] = frozenset()) -> tuple[str, list[Unit], list[Unit]]:
+    """The text, all units, and those of the text."""
+    found = list(units(page, weights.names, unheeded, wrappers=wrappers))
     weight = [word_weight(u, weights) for u in found]
-    put_off: Counter[int] = Counter()
     gain: list[float] = []
     owner: list[int] = []
     loss = 0.0
     for i, (u, w) in enumerate(zip(found, weight, strict=True)):
         cost = -0.001 * len(u.tags) if u.mark else sum(weights.tag.get(t, tag_weight()) for t in u.tags)
-        if u.main:
-            put_off[u.main] += u.words - u.linked
         loss = min(GAP, loss - cost - (0.0 if u.beside else min(0.0, w * u.words)))
         if w > 0 and u.words:
             gain += [-loss, w * u.words]
@@ -364,7 +417,7 @@ def _extract(page: str | None, weights: Weights, heed: bool) -> tuple[str, int]:
             out.append(" " if k != before + 1 or any(t not in INLINE for t in found[k].tags) else "")
         out.append(html.unescape("".join(found[k].texts)))
         before = k
-    return " ".join("".join(out).split()), max(put_off.values(), default=0)
+    return " ".join("".join(out).split()), found, [found[k] for k in chosen]
 
 
 def training_pages(pages: DataFrame) -> list[str]:

@@ -241,6 +241,31 @@ def test_names_never_decide_alone_and_parts_beside_stay_out(learned):
     assert H.extract(f"<body>{MENU}<div class=content>{short}</div>", weights).split()[:4] == "Line 0 of it.".split()
 
 
+LONG_TALK = "I thought about this for a long time and found that the writer had left out what matters most to the people of the town. " * 8
+
+
+@pytest.mark.parametrize("learned", [False, True])
+@pytest.mark.parametrize("n", [1, 2, 9])
+def test_long_comments_as_articles_stay_out(learned, n):
+    """Comments that are articles and longer than the article, beside and inside it; other named parts stay out with them."""
+    weights = H.train(sample_pages()[:200] if learned else [])
+    p, advert = f"<p>{RIVER}</p>", "<div class=ad><article><p>Buy cheap things now, all of them, while they last.</p></article></div>"
+    for each in ("<article class=comment-body>", "<article>", "<article class=comment><div class=comment-content>", "<div class=comment><article>"):
+        talk = "<section class=comments><h2>What readers say</h2>" + f"{each}<p>{LONG_TALK}</p></article>" * n + "</section>"
+        for body in (
+            f"<article>{p}{p}{talk}</article>",
+            f"<article>{p}{p}</article>{talk}{advert}",
+            f"<main><article>{p}{advert}{p}</article>{talk}</main>",
+            f"<div id=content>{p}{p}</div>{talk}",
+            f"<div id=content>{p}{p}{talk}</div>{advert}",
+            f"<div class=sidebar><article>{p}{p}</article>{talk}{advert}</div>",
+            f"<div class='sidebar-right'><article>{p}{p}{talk}</article></div>",
+        ):
+            page = f"<html><head><title>x</title></head><body>{MENU}{body}<footer>Copyright, all rights reserved</footer></body></html>"
+            assert H.extract(page, weights).split() == (RIVER * 2).split(), (each, body)
+    assert H.extract(f"<body>{MENU}{talk}", weights).split() != (LONG_TALK * n).split()
+
+
 def sample_pages():
     import pyarrow.parquet as pq
 
