@@ -102,8 +102,11 @@ PATTERNS = [
 ]
 #: What is counted for a style.
 ASSIGNED, LETTER, HINT = r"\b[a-zA-Z_]\w*\s*=", r"(?<![\p{L}\p{N}_])[a-z](?![\p{L}\p{N}_])", r"->\s*(?:None|bool|int|str|float|List|Dict|Optional|Union)"
-DOCSTRING, FUNCTION, TRY = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''", r"(?m)^\s*def\s+\w+", r"(?m)^\s*try\s*:"
-COMPREHENSION, LOOP = r"\[.*for.*in.*\]", r"(?m)^\s*for\s+\w+\s+in\s+"
+DOCSTRING, FUNCTION, TRY = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''", r"(?m)^[^\S\n]*def\s+\w+", r"(?m)^[^\S\n]*try\s*:"
+COMPREHENSION, LOOP = r"\[.*for.*in.*\]", r"(?m)^[^\S\n]*for\s+\w+\s+in\s+"
+#: COMPREHENSION for a backtracking matcher, in linear time: a line has one match at most, from its first bracket on, and
+#: what stood first stays.
+LINEAR_COMPREHENSION = r"(?dm)^[^\[\n]*+\[(?>[^\n]*?for)(?>[^\n]*?in)[^\n]*\]"
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -121,7 +124,7 @@ def stylometry(text: Column) -> Column:
     of = lambda a, b: count(text, a) / F.greatest(count(text, b), F.lit(1))
     generic = r"\b(?:" + "|".join(GENERIC) + r")\b"
     documented = count(text, DOCSTRING) / F.size(lines(text))
-    return unit(of(generic, ASSIGNED) * 0.25 + documented * 0.20 + of(HINT, FUNCTION) * 0.20 + (1 - of(LETTER, ASSIGNED)) * 0.15 + of(TRY, FUNCTION) * 0.10 + F.least(F.lit(1.0), of(COMPREHENSION, LOOP)) * 0.10)
+    return unit(of(generic, ASSIGNED) * 0.25 + documented * 0.20 + of(HINT, FUNCTION) * 0.20 + (1 - of(LETTER, ASSIGNED)) * 0.15 + of(TRY, FUNCTION) * 0.10 + F.least(F.lit(1.0), of(LINEAR_COMPREHENSION, LOOP)) * 0.10)
 
 
 def docstrings(text: Column) -> Column:

@@ -135,3 +135,20 @@ def test_alignments_are_sound(a, b):
         for j, y in enumerate(b):
             naive[i + 1][j + 1] = naive[i][j] + 1 if x == y else max(naive[i][j + 1], naive[i + 1][j])
     assert structure.common_subsequence(a, b) == naive[-1][-1]
+
+
+def test_comprehensions_are_counted_in_linear_time(spark):
+    """As the plain pattern counts them, and for long lines of openings too."""
+    import random
+    import re
+    import time
+
+    from tessella.functions import signals
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["[", "]", "for", "in", " ", "\n", "x", "fo", "i"]) for _ in range(rng.randrange(40))) for _ in range(500)]
+    count = lambda rows: [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").selectExpr(f"regexp_count(t, r'{signals.LINEAR_COMPREHENSION}')").collect()]
+    assert count(texts) == [len(re.findall(signals.COMPREHENSION, t)) for t in texts]
+    began = time.time()
+    assert count(["[for in " * 50_000, "[" * 200_000, "[for " * 50_000 + "]", "[for in ]" * 50_000]) == [0, 0, 0, 1]
+    assert time.time() - began < 20
