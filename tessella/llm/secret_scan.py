@@ -4,11 +4,11 @@ Three rules give the base findings: ``assign`` (a named value), ``access`` (an a
 lower-case hexadecimal digits). Every other run of ``CANDIDATE`` characters is a candidate for the network, kind
 ``net``: its characters and those around it are embedded, convolved, max-pooled and scored, all in numpy. A candidate
 longer than a window is seen whole: windows slide over it, and its score is the greatest of theirs. The network is
-trained on labelled findings: what the rules find in at most ``FOUND_DOCS`` documents (secrets) and the candidates beside
-it in pieces of at most ``SAMPLE_DOCS`` others (harmless), and, since documents may show few kinds, seeded random keys,
+trained on labelled findings: what each rule finds in at most ``FOUND_DOCS`` documents, those with the least hash of all
+with such a finding that is as long as a candidate (secrets), and the candidates beside it in pieces of at most ``SAMPLE_DOCS`` others (harmless), and, since documents may show few kinds, seeded random keys,
 keys inside long paths and look-alikes that are set into those pieces. Half of all is kept apart to calibrate the scores
-(a logistic fit) and to choose the threshold: the highest that keeps ``RECALL`` of the labelled secrets, of those of the
-documents as of the seeded ones. Base findings always stay.
+(a logistic fit) and to choose the threshold: the highest that keeps ``RECALL`` of the labelled secrets, of those of each
+rule in the documents as of the seeded ones; ``Scanner.recall`` has what it keeps by kind. Base findings always stay.
 
 Spans are [start, end) in code points of the whole text, leftmost and without overlap within a kind. Of a run that
 overlaps base findings, the parts outside them are candidates if they are as long as one; a shorter rest of a key that
@@ -23,13 +23,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import least_hashed, sliced
@@ -54,10 +53,8 @@ STEP = 8
 WINDOWS = 8192
 EMBED, WIDTH, FILTERS = 8, 5, 24
 SAMPLE_DOCS, SAMPLE_CHARS = 256, 400
-#: Documents with base findings that are learned from, and the characters before and after the first finding of each.
+#: Documents with base findings of each kind that are learned from, and the characters before and after the first finding.
 FOUND_DOCS, FOUND_BEFORE, FOUND_CHARS = 256, 100, 500
-#: Words of which one stands in a text with an assigned secret or an access key.
-WORDS = ("passw", "secret", "token", "api_key", "apikey", "AKIA")
 RECALL = 0.98
 
 
@@ -67,6 +64,7 @@ class Scanner:
     scale: float
     shift: float
     threshold: float
+    recall: dict[str, float] = field(default_factory=dict)
 
 
 def base_spans(text: str, kinds=KINDS[:3]) -> list[tuple[int, int, str]]:
@@ -226,29 +224,43 @@ def labelled_runs(pieces: list[str], rng: np.random.Generator, n: int = 1200) ->
 
 def found_windows(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of pieces of documents: windows of what the rules find (labelled 1) and of the candidates beside it (0)."""
-    xs, ys = [np.zeros((0, LENGTH), np.int16)], []
+    return found_by_kind(pieces)[:2]
+
+
+def learnable(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The values of base findings that are as long as a candidate."""
+    values = [(m.start(2), m.end(2), "assign") for m in ASSIGN.finditer(text)] if any(kind == "assign" for *_, kind in base) else []
+    return sorted(v for v in {*values, *(b for b in base if b[2] != "assign")} if v[1] - v[0] >= LEAST_CANDIDATE)
+
+
+def found_by_kind(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``found_windows``, with the number of each window's rule, -1 for candidates. A secret that several pieces hold
+    counts once, so that what is kept apart is not what was learned."""
+    xs, ys, kinds, seen = [np.zeros((0, LENGTH), np.int16)], [], [], set()
     for text in pieces:
         base = base_spans(text)
-        values = {(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_CANDIDATE}
-        values |= {(a, b) for a, b, kind in base if kind != "assign" and b - a >= LEAST_CANDIDATE}
-        for label, spans in ((1, sorted(values)), (0, candidates(text, base))):
-            for a, b in spans:
-                xs.append(window(text, a, b)[None])
-                ys.append(label)
-    return np.concatenate(xs), np.array(ys, np.float32)
+        for a, b, kind in (*learnable(text, base), *((a, b, None) for a, b in candidates(text, base))):
+            if kind and text[a:b] in seen:
+                continue
+            seen.add(text[a:b])
+            xs.append(window(text, a, b)[None])
+            ys.append(kind is not None)
+            kinds.append(-1 if kind is None else KINDS.index(kind))
+    return np.concatenate(xs), np.array(ys, np.float32), np.array(kinds, np.int64)
 
 
 def train(pieces: list[str], found: list[str] = (), steps: int = 260, seed: int = 11) -> Scanner:
     """From pieces of documents, and pieces with base findings. The same pieces in the same order give the same scanner."""
     rng = np.random.default_rng(seed)
     x, y = labelled_findings(pieces, rng)
-    real, real_y = found_windows([*found, *pieces])
+    real, real_y, rule = found_by_kind([*found, *pieces])
     mixed = rng.permutation(len(x) + len(real))
-    x, y, of_docs = np.concatenate((x, real))[mixed], np.concatenate((y, real_y))[mixed], (np.arange(len(mixed)) >= len(x))[mixed]
+    # seeded secrets are a kind of their own, after the rules'
+    x, y, kind = np.concatenate((x, real))[mixed], np.concatenate((y, real_y))[mixed], np.concatenate((np.full(len(x), 3), rule))[mixed]
     runs = labelled_runs(pieces, np.random.default_rng(seed + 1))
     half, apart = len(x) // 2, runs[len(runs) // 2 :]
     # learned from: windows of findings and of long runs; kept apart: a candidate each, with all its windows
-    late_docs = np.concatenate((of_docs[half:], np.zeros(len(apart), bool)))
+    late_kind = np.concatenate((kind[half:], np.full(len(apart), 3)))
     late, late_y = [*x[half:, None], *(r for r, _ in apart)], np.concatenate((y[half:], [float((t != 0).any()) for _, t in apart]))
     learned, labels = (np.concatenate((first[:half], *rest)) for first, rest in ((x, [r for r, _ in runs[: len(runs) // 2]]), (y, [t for _, t in runs[: len(runs) // 2]])))
     x, y = learned[labels >= 0], labels[labels >= 0]
@@ -276,13 +288,12 @@ def train(pieces: list[str], found: list[str] = (), steps: int = 260, seed: int
         g, w = np.array([((q - t) * z).sum() + (a - 1), (q - t).sum()]), q * (1 - q)
         h = np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
         a, c = np.array([a, c]) - np.clip(np.linalg.solve(h, g), -1, 1)
-    s = Scanner(p, float(a), float(c), 0.0)
-    score, least = 1 / (1 + np.exp(-np.clip(a * z + c, -60, 60))), []
-    for kept in (t > 0) & late_docs, (t > 0) & ~late_docs:
-        positive = np.sort(score[kept])
-        least += [float(positive[int((1 - RECALL) * len(positive))])] if len(positive) else []
-    s.threshold = min(least)
-    return s
+    score = 1 / (1 + np.exp(-np.clip(a * z + c, -60, 60)))
+    kept = {name: np.sort(score[(t > 0) & (late_kind == k)]) for k, name in enumerate((*KINDS[:3], "seeded"))}
+    kept = {name: q for name, q in kept.items() if len(q)}
+    # the conformal quantile: what it keeps of further ones is RECALL or more on average, however few were kept apart
+    threshold = float(min(q[max(int((1 - RECALL) * (len(q) + 1)) - 1, 0)] for q in kept.values()))
+    return Scanner(p, float(a), float(c), threshold, {name: float((q >= threshold).mean()) for name, q in kept.items()})
 
 
 def training_pieces(docs: DataFrame) -> list[str]:
@@ -294,15 +305,28 @@ def training_pieces(docs: DataFrame) -> list[str]:
 
 
 def training_found(docs: DataFrame) -> list[str]:
-    """Pieces around a base finding of the documents with the least hash among those that have one; a bounded sample. Only
-    texts with one of WORDS are searched for one, since a plain search of all texts costs far less than a pattern's."""
-    hint = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{20}|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
-    at = F.regexp_instr("text", F.lit(hint))
-    likely = docs.filter(reduce(lambda a, b: a | b, [F.contains("text", F.lit(w)) for w in WORDS]))
-    has = likely.select("doc_id", "text", at.alias("at")).filter("at > 0")
-    piece = F.substr("text", F.greatest(F.col("at") - FOUND_BEFORE, F.lit(1)), F.lit(FOUND_CHARS)).alias("piece")
-    rows = least_hashed(has, "doc_id", FOUND_DOCS, 22).select("__h", "doc_id", piece).orderBy("__h", "doc_id", "piece").limit(FOUND_DOCS).collect()
-    return [r["piece"] for r in rows]
+    """Pieces around a finding of each rule, of the documents with the least hash among all that have one long enough to be
+    a candidate, one for each secret: a bounded sample by kind. Every text is searched; a hint of a rule that no finding lacks spares the others
+    its pattern."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, rows = batch.column(1).cast(pa.string()), []
+            masks = {k: pc.match_substring_regex(texts, HINTS[k]).to_numpy(zero_copy_only=False) for k in KINDS[:3]}
+            for i in np.flatnonzero(np.any(list(masks.values()), axis=0)):
+                text, h = texts[int(i)].as_py(), batch.column(0)[int(i)].as_py()
+                first: dict[str, tuple[int, int]] = {}
+                for at, to, kind in learnable(text, base_spans(text, [k for k in KINDS[:3] if masks[k][i]])):
+                    first.setdefault(kind, (at, to))
+                rows += [(h, kind, text[at:to], text[max(at - FOUND_BEFORE, 0) :][:FOUND_CHARS]) for kind, (at, to) in first.items()]
+            for at in range(0, len(rows), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 1024])], ["h", "kind", "value", "piece"])
+
+    hits = docs.filter("text IS NOT NULL").select(F.xxhash64("doc_id", F.lit(22)).alias("h"), "text").mapInArrow(find, "h long, kind string, value string, piece string")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("h", "piece"))
+    values = hits.groupBy("kind", F.xxhash64("value").alias("v")).agg(F.min(F.struct("h", "piece")).alias("first")).select("kind", "first.*")
+    rows = values.withColumn("place", place).filter(F.col("place") <= FOUND_DOCS).collect()  # so many of each of three kinds
+    return [r["piece"] for r in sorted(rows, key=lambda r: (KINDS.index(r["kind"]), r["place"]))]
 
 
 def train_on(docs: DataFrame) -> Scanner:

@@ -118,11 +118,24 @@ def test_recall_on_findings_of_documents_that_were_not_learned_from(spark):
     x, y = S.found_windows(apart)
     q = S.scores(s, x)
     assert (y > 0).sum() > 40 and (q[y > 0] >= s.threshold).mean() >= 0.95
+    assert set(s.recall) >= {"assign", "hex", "seeded"} and min(s.recall.values()) >= 0.95
     texts = [r["text"] for r in table.filter("doc_id % 2 = 1 AND text IS NOT NULL").select("text").collect()]
     harmless = [S.window(t, a, b) for t in texts for a, b in S.candidates(t, S.base_spans(t))]
     assert harmless and (S.scores(s, np.stack(harmless)) >= s.threshold).mean() <= 0.1
 
 
+def test_every_kind_of_finding_is_learned_from(spark):
+    """Upper-case assignments, access keys and bare hexadecimal runs are in the labels, in any text; too short ones are not."""
+    found = ["DB_PASSWORD=ABCDEFGHIJKLMNOPQRST1", "deadbeef" * 4, "Api_Key: 'abcdefghijklmnopqrstu'", "AKIA" + "Z7" * 9, "TOKEN=shorter12", "AKIA0123456789AB"]
+    rows = [(i, f"words before {f} and after", "en", "s") for i, f in enumerate(found)] + [(9, "x " * 5000 + "beefdead" * 4, "en", "s"), (8, found[0], "en", "s"), (10, None, None, None)]
+    pieces = S.training_found(docs(spark, rows))
+    values = [*found[:4], "beefdead" * 4]
+    assert len(pieces) == 5 and all(sum(v in p for p in pieces) == 1 for v in values)
+    x, y, kind = S.found_by_kind(pieces)
+    assert sorted(kind[y > 0]) == [0, 0, 1, 2, 2]
+    assert S.training_found(docs(spark, [])) == []
+
+
 def test_the_rest_of_a_key_is_redacted_with_its_finding():
     text = "key sk_live_" + "0af" * 11 + "QmZx81Lk, and sk_other_ stays"
     assert S.redacted(text, S.base_spans(text), "#") == "key #, and sk_other_ stays"
