@@ -228,9 +228,10 @@ def found_windows(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learnable(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The values of base findings that are as long as a candidate."""
-    values = [(m.start(2), m.end(2), "assign") for m in ASSIGN.finditer(text)] if any(kind == "assign" for *_, kind in base) else []
-    return sorted(v for v in {*values, *(b for b in base if b[2] != "assign")} if v[1] - v[0] >= LEAST_CANDIDATE)
+    """The values of base findings that are as long as a candidate. An assigned value that is a key by itself is of that kind."""
+    values = {m.span(2): "assign" for m in ASSIGN.finditer(text)} if any(kind == "assign" for *_, kind in base) else {}
+    values |= {(a, b): kind for a, b, kind in base if kind != "assign"}
+    return sorted((a, b, kind) for (a, b), kind in values.items() if b - a >= LEAST_CANDIDATE)
 
 
 def found_by_kind(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
