@@ -9,8 +9,10 @@ substring up to r / parts bits (pigeonhole), so probing the values that near ret
 on the original vectors. Every row is indexed; only the codes and the radius come from a sample.
 
 The index is dealt out by substring and the top bits of its value, and large lists by a hash of the vector's id, so that
-a task holds at most about ``LIST`` vectors of one list; a query goes to the lists that it probes. A query that finds too
-few within the radius is searched again with a radius that holds every code.
+a task holds at most about ``LIST`` vectors of one list; a query goes to the lists that it probes. The rows of a list are
+sorted, items first, and its queries stream past them, so that many queries of one list need no memory; a list of more
+vectors is probed part by part, for which its queries are copied once for each part. A query that finds too few within the
+radius is searched again with a radius that holds every code.
 
 Defined results: vectors that are null, zero, of another length than most of the sample, or that hold a null or a
 non-finite component take no part. Ties go to the smaller vec_id. Rows that share a query's vec_id are never its
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import least_hashed, materialize
+from tessella.llm.common import least_hashed, materialize, sliced
 
 BITS, TOP = 64, 3
 SAMPLE, SAMPLE_QUERIES, TARGET = 8192, 256, 0.97
@@ -114,33 +116,58 @@ def _vectors(rows: pd.DataFrame) -> np.ndarray:
     return np.stack([unpack(v) for v in rows["vector"]])
 
 
-def _probe(items: pd.DataFrame, queries: pd.DataFrame, radius: int, k: int, parts: int) -> pd.DataFrame:
-    """The k nearest of each query in one list: probes by value, the Hamming check, then cosines."""
-    out: list[tuple] = []
-    if len(items) and len(queries):
-        part, near, width = int(items["part"].iloc[0]), radius // parts, BITS // parts
-        mask = np.uint64(2**width - 1)
+class _List:
+    """The items of one list, ready to be probed."""
+
+    def __init__(self, items: pd.DataFrame, part: int, radius: int, k: int, parts: int):
+        self.part, self.radius, self.k, self.near, self.width = part, radius, k, radius // parts, BITS // parts
+        self.mask = np.uint64(2**self.width - 1)
         items = items.sort_values("vec_id", ignore_index=True)
-        code = items["code"].to_numpy().view(np.uint64)
-        value = (code >> np.uint64(part * width)) & mask
-        by = np.argsort(value, kind="stable")
-        held, sizes = np.unique(value, return_counts=True)
-        ids, x = items["vec_id"].to_numpy(), _vectors(items)
-        norms = np.sqrt((x * x).sum(1))
-        earlier = [np.uint64(p * width) for p in range(part)]
+        self.code, self.ids, self.x = items["code"].to_numpy().view(np.uint64), items["vec_id"].to_numpy(), _vectors(items)
+        value = (self.code >> np.uint64(part * self.width)) & self.mask
+        self.by = np.argsort(value, kind="stable")
+        self.held, self.sizes = np.unique(value, return_counts=True)
+        self.norms = np.sqrt((self.x * self.x).sum(1))
+        self.earlier = [np.uint64(p * self.width) for p in range(part)]
+
+    def probe(self, queries: pd.DataFrame) -> list[tuple]:
+        """(query_id, vec_id, score) of the k nearest of each query: probes by value, the Hamming check, then cosines."""
+        out: list[tuple] = []
         for qid, qcode, q in zip(queries["vec_id"], queries["code"].to_numpy().view(np.uint64), _vectors(queries), strict=True):
-            own = (qcode >> np.uint64(part * width)) & mask
-            at = by[np.repeat(np.bitwise_count(held ^ own) <= near, sizes)]
-            apart = code[at] ^ qcode
-            good = (np.bitwise_count(apart) <= radius) & (ids[at] != qid)
-            for p in earlier:  # a pair belongs to the first substring that finds it
-                good &= np.bitwise_count((apart >> p) & mask) > near
+            own = (qcode >> np.uint64(self.part * self.width)) & self.mask
+            at = self.by[np.repeat(np.bitwise_count(self.held ^ own) <= self.near, self.sizes)]
+            apart = self.code[at] ^ qcode
+            good = (np.bitwise_count(apart) <= self.radius) & (self.ids[at] != qid)
+            for p in self.earlier:  # a pair belongs to the first substring that finds it
+                good &= np.bitwise_count((apart >> p) & self.mask) > self.near
             at = np.sort(at[good])
             if len(at):
-                score = (x[at] * q).sum(1) / (norms[at] * np.sqrt((q * q).sum()))
-                best = np.lexsort((ids[at], -score))[:k]
-                out += [(qid, ids[at[b]], score[b]) for b in best]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                score = (self.x[at] * q).sum(1) / (self.norms[at] * np.sqrt((q * q).sum()))
+                best = np.lexsort((self.ids[at], -score))[: self.k]
+                out += [(qid, self.ids[at[b]], score[b]) for b in best]
+        return out
+
+
+KEYS = ["part", "top", "salt"]
+
+
+def probed(batches: Iterator[pa.RecordBatch], radius: int, k: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows by list, its items (at most about LIST) before its queries, which stream past them: however many queries probe a
+    list, a task holds its items and one batch."""
+    key, items, ready = None, [], None
+    for batch in sliced(batches):
+        rows, found = batch.to_pandas(), []
+        for (*own, asks), some in rows.groupby([*KEYS, "asks"], sort=True):
+            if own != key:
+                key, items, ready = own, [], None
+            if not asks:
+                items.append(some)
+            elif items or ready:
+                if ready is None:
+                    ready, items = _List(pd.concat(items), int(key[0]), radius, k, parts), []
+                found += ready.probe(some)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["query_id", "vec_id", "score"])
 
 
 def search(items: DataFrame, queries: DataFrame, radius: int, k: int = NEIGHBOURS, parts: int | None = None) -> DataFrame:
@@ -163,8 +190,9 @@ def search(items: DataFrame, queries: DataFrame, radius: int, k: int = NEIGHBOUR
     own = [F.col(c).alias(c) for c in ("vec_id", "code", "vector")]  # new columns, even if queries are some of the items
     asked = queries.select(*own).select("vec_id", "code", "vector", F.explode(F.filter(tops, lambda x: x["probed"])).alias("l")).select("vec_id", "code", "vector", "l.part", "l.top")
     asked = asked.filter(salts_of() > 0).withColumn("salt", F.explode(F.sequence(F.lit(0), salts_of() - 1)))
-    keys = ["part", "top", "salt"]
-    found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(lambda a, b: _probe(a, b, radius, k, parts), "query_id long, vec_id long, score double")
+    columns = [*KEYS, "asks", "vec_id", "code", "vector"]
+    both = dealt.withColumn("asks", F.lit(False)).select(columns).unionByName(asked.withColumn("asks", F.lit(True)).select(columns))
+    found = both.repartition(*KEYS).sortWithinPartitions(*KEYS, "asks").mapInArrow(lambda b: probed(b, radius, k, parts), "query_id long, vec_id long, score double")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
 
