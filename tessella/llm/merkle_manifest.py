@@ -114,7 +114,7 @@ def members(blocks: DataFrame, key: str) -> DataFrame:
 
 def manifest(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Each row's leaf, its key's root, the dataset's root, its proof, and what the proof says of its tampered leaf."""
-    blocks = placed(ranked(leaves(docs), "lang", ["doc_id", "node"]), "lang", ("doc_id", "forged"), block)
+    blocks = placed(ranked(materialize(leaves(docs), "leaves"), "lang", ["doc_id", "node"]), "lang", ("doc_id", "forged"), block)
     subroots = blocks.filter("block = 0").select("lang", F.col("root").alias("node"), F.lit(0).alias("all"))
     keys = members(placed(ranked(subroots, "all", ["lang"]), "all", ("lang",), block), "all")
     keys = keys.select(F.col("lang").alias("__lang"), F.col("steps").alias("__above"), F.col("root").alias("__root"))
