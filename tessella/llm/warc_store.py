@@ -291,7 +291,8 @@ def read_archives(index: DataFrame, keep_data: bool = True, size: int = CHUNK) -
 
         yield from _batches(rows(), _READ, lambda row: len(row[6] or b""))
 
-    return parts.select("path", "start", "end").mapInArrow(read, _ddl(_READ))
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few small rows, each of them much work
+    return parts.select("path", "start", "end").repartition(n, "path", "start").mapInArrow(read, _ddl(_READ))
 
 
 def store(pages: DataFrame, root: str, least: int = LEAST, size: int = CHUNK) -> DataFrame:
