@@ -110,7 +110,7 @@ class Lot:
         occurs. A pair alone needs no pointer, as its count is known."""
         ids = self.ids[self.code]
         next_ok = np.zeros(len(ids) + LONGEST, bool)
-        next_ok[: len(ids) - 1] = self.joined[:-1] & frequent.has(pair_hash(ids[:-1], ids[1:]))
+        next_ok[: max(len(ids) - 1, 0)] = self.joined[:-1] & frequent.has(pair_hash(ids[:-1], ids[1:]))
         at = np.flatnonzero(next_ok[: len(ids)] & next_ok[1 : len(ids) + 1])
         code = np.full((LONGEST, len(at)), -1, np.int64)
         more = np.ones(len(at), bool)
