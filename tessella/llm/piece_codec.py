@@ -184,9 +184,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: n_tokens, digests of the ids and of the decoded text, n_bytes that the spans reach to, and a
-    checksum of the spans (starts, then ends, as little-endian 32-bit integers)."""
+    checksum of the spans (starts, then ends, as little-endian 32-bit integers); then the columns to ``keep``."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "spans_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +199,11 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 out.append((len(ids), hashlib.sha256(c.joined(ids).encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest(), int(ends[-1]) if len(ends) else 0, spans))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(cols, kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(cols, kinds, strict=True)), *batch.columns[2:]], [*names, *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_crc32 long")
+    given = docs.select("doc_id", "text", *keep)
+    kept = "".join(f", `{c}` {given.schema[c].dataType.simpleString()}" for c in keep)
+    return given.mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_crc32 long{kept}")
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

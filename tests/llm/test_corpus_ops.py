@@ -259,13 +259,47 @@ def test_weights_follow_the_targets():
 
 
 def test_more_sources_than_a_period(spark):
-    rows = [(i, "x" * (1 + i % 5), "en", f"site{i % 1500}") for i in range(3000)]
+    rows = [(i, "x" * (1 + i % 4), "en", f"site{i % 1500}") for i in range(3000)]
     got = M.mix(docs(spark, rows, False), block_chars=4).collect()
     assert len(got) == 3000 and len({r["source"] for r in got}) == 1500
     assert len({(r["source"], r["block"]) for r in got}) == len({r["slot"] for r in got})
     assert M.mix(docs(spark, rows, False), period=50).count() == 3000
 
 
+def test_sources_in_bins_stay_near_their_share():
+    """Exact weights, without a period: each source within one block of its share at every turn, while all have blocks."""
+    rng = random.Random(9)
+    for _ in range(60):
+        w = {f"s{i}": rng.randrange(1, 1000) for i in range(rng.randrange(1, 12))}
+        total, last = sum(w.values()), 400
+        done = dict.fromkeys(w, 0)
+        for i, (s, k, turn) in enumerate(M.turns(w, dict.fromkeys(w, last))):
+            if turn >= last:
+                break
+            assert turn == i and k == done[s]
+            done[s] += 1
+            assert all(abs(done[x] * total - w[x] * (turn + 1)) < total for x in w)
+    assert list(M.turns({"a": 1, "b": 3}, {"a": 2, "b": 1})) == [("b", 0, 0), ("a", 0, 1), ("a", 1, 4)]
+
+
+@pytest.mark.parametrize("targets", [None, {"site0": 0.5, "site1": 0.25, "site900": 0.01}])
+def test_many_sources_share_the_slots_of_bins(spark, monkeypatch, targets):
+    """A bounded schedule for any number of sources: each block has a slot of its own, and shares are held."""
+    monkeypatch.setattr(M, "HEADS", 20)
+    monkeypatch.setattr(M, "BINS", 7)
+    rows = [(i, "x" * (1 + i % 4), "en", f"site{i % 150 if i % 3 else i % 2}" if i % 40 else None) for i in range(4000)]
+    mixed = M.mix(docs(spark, rows, False), targets, block_chars=4)
+    got = mixed.collect()
+    assert len(got) == 4000 and {r["source"] for r in got} == {r[3] for r in rows}
+    assert len({(r["source"], r["block"]) for r in got}) == len({r["slot"] for r in got})
+    for s in {r["source"] for r in got}:
+        mine = sorted((r["block"], r["slot"]) for r in got if r["source"] == s)
+        assert [x for _, x in mine] == sorted(x for _, x in mine)  # blocks in their order
+    if targets:  # of two sources with a target two thirds go to the first, less a slot of the period for each other
+        blocks = {(r["source"], r["block"]) for r in got if r["slot"] < 200}
+        assert abs(sum(s == "site0" for s, _ in blocks) - 200 * 2 / 3) <= 6
+
+
 def test_mix_keeps_all_and_follows_the_schedule(spark):
     rows = TEXTS + [(i, "x" * (i % 7 * 10), "en", "big" if i % 3 else "small") for i in range(1000, 1400)]
     df = docs(spark, rows)
@@ -436,6 +470,23 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, sp.encode(texts[i]))).encode()).hexdigest()
 
 
+def test_the_mix_is_the_order_of_the_result(spark, tmp_path, monkeypatch):
+    """The last stage's file and row follow slot and place, after the Parquet read, over several files read in any order."""
+    rows = [(i, f"{i} house tree " * (1 + i % 9), "en", f"s{i % 5 if i % 3 else 0}") for i in range(900)]
+    df = docs(spark, rows, extra=False)
+    monkeypatch.setattr(M.mix, "__defaults__", (None, 300, None, M.ADDED))
+    want = [r["doc_id"] for r in sorted(M.mix(df).collect(), key=lambda r: (r["slot"], r["place"]))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        P.mixing(spark, df, "").write.parquet(f"{tmp_path}/mixed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 1
+    got = P.encoding(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["mix_file"], r["mix_row"]))] == want
+    assert {r["mix_file"] for r in P.encoding(spark, df, "").collect()} == {None}
+
+
 def test_stages_return_the_columns_of_documents(spark, tmp_path):
     """Columns that are called as an operator's own come out with their values."""
     df = docs(spark, TEXTS).selectExpr("*", "'mine' AS slot", "0.5D AS weight", "7 AS PLACE", "1 AS __mix_key")
