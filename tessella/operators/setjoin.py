@@ -74,7 +74,11 @@ def counts(docs: DataFrame) -> DataFrame:
 
 def pair_counts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """For each pair: m (sum of least counts), dot, na, nb (items), qa, qb (sums of squared counts)."""
-    c = counts(docs)
+    return counted_pairs(pairs, counts(docs))
+
+
+def counted_pairs(pairs: DataFrame, c: DataFrame) -> DataFrame:
+    """``pair_counts`` of items that are counted already: (id, t, c)."""
     norms = c.groupBy("id").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
     a, b = c.toDF("id_a", "t", "ca"), c.toDF("id_b", "t", "cb")
     met = pairs.select("id_a", "id_b").join(a, "id_a").join(b, ["id_b", "t"]).groupBy("id_a", "id_b").agg(F.sum(F.least("ca", "cb")).alias("m"), F.sum(F.col("ca") * F.col("cb")).alias("dot"))
