@@ -61,7 +61,7 @@ def _distinct(docs: DataFrame) -> DataFrame:
     return minhash(docs).filter(F.col("sig")[0] != EMPTY).groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
 
 
-def _banded(sigs: DataFrame, rows: int) -> DataFrame:
+def banded(sigs: DataFrame, rows: int = ROWS) -> DataFrame:
     """(id, copies, band, bucket): ids alone move, not signatures."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // rows - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("sig", b * rows + 1, F.lit(rows))).alias("bucket")))
     return sigs.select("id", "copies", F.explode(bands).alias("x")).select("id", "copies", "x.band", "x.bucket")
@@ -70,7 +70,7 @@ def _banded(sigs: DataFrame, rows: int) -> DataFrame:
 def lsh_pairs(docs: DataFrame, rows: int = ROWS, least: float = LEAST) -> DataFrame:
     """id_a, id_b, estimate: an equi-join on bands of distinct signatures, then the share of equal positions."""
     sigs = written(_distinct(docs), "signatures")
-    b = _banded(sigs, rows)
+    b = banded(sigs, rows)
     found = b.select(F.col("id").alias("id_a"), "band", "bucket").join(b.select(F.col("id").alias("id_b"), "band", "bucket"), ["band", "bucket"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
     equal = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / PERMUTATIONS
     sig = sigs.select("id", "sig")
@@ -79,5 +79,5 @@ def lsh_pairs(docs: DataFrame, rows: int = ROWS, least: float = LEAST) -> DataFr
 
 
 def lsh_stats(docs: DataFrame, rows: int = ROWS) -> DataFrame:
-    n = _banded(written(_distinct(docs), "signatures"), rows).groupBy("band", "bucket").agg(F.sum("copies").alias("n"))
+    n = banded(written(_distinct(docs), "signatures"), rows).groupBy("band", "bucket").agg(F.sum("copies").alias("n"))
     return n.agg((F.sum("n") / (PERMUTATIONS // rows)).cast("long").alias("documents"), F.count(F.lit(1)).alias("buckets"), F.sum("n").alias("entries"), F.max("n").alias("largest"))

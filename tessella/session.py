@@ -21,17 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder that spark.checkpoint.dir names: cuts lineage, survives lost executors,
-    and is not computed again by each of its readers. A local folder is made only where none is named
-    and the master is local (tests)."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names. A local folder is made only where none is named and the master is
+    local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: cuts lineage, survives lost executors, and is not computed again by each of
+    its readers."""
+    path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
