@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tessella.session import written
 
+#: Prefixes that hold one item, from which its pairs are dealt in blocks.
+HOT = 2048
+
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, items array<bigint>) to the distinct sets and their members. Empty sets are in neither.
@@ -44,8 +47,8 @@ def _prefixed(sets: DataFrame, frequency: DataFrame, num: int, den: int) -> Data
 def jaccard_pairs(sets: DataFrame, num: int, den: int, other: DataFrame | None = None) -> DataFrame:
     """id_a, id_b, common, total of pairs with common / total >= num / den; sets: (id, items distinct, n).
 
-    Prefix filter: similar sets share one of their rarest items, so the candidates are an equi-join on those alone, and
-    only candidates fetch the items that they share with anyone. With ``other`` the pairs are from one relation to the
+    Prefix and position filter: similar sets share one of their rarest items, so the candidates are an equi-join on those
+    alone; where they stand bounds what can be shared, and only what may be similar fetches the items. With ``other`` the pairs are from one relation to the
     other, else id_a < id_b.
     """
     items = lambda s: s.select(F.explode("items").alias("t"))
@@ -57,9 +60,7 @@ def jaccard_pairs(sets: DataFrame, num: int, den: int, other: DataFrame | None =
         frequency = sides.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.max("s").alias("high"), F.min("s").alias("low")).filter("high = 1 AND low = 0").select("t", "df")
         frequency = written(frequency, "frequencies")
         a, b = written(_prefixed(sets, frequency, num, den), "prefixes"), written(_prefixed(other, frequency, num, den), "prefixes")
-    left, right = (x.select(F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.explode("prefix").alias("t")) for x, s in ((a, "a"), (b, "b")))
-    near = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-    found = left.join(right, "t").filter(near & (F.col("id_a") < F.col("id_b") if other is None else F.lit(True))).select("id_a", "id_b").distinct()
+    found = _candidates(a, b, num, den, other is None)
     ia = a.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("items").alias("x"))
     ib = b.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("items").alias("y"))
     common = F.size(F.array_intersect("x", "y")).cast("long")
@@ -67,6 +68,35 @@ def jaccard_pairs(sets: DataFrame, num: int, den: int, other: DataFrame | None =
     return scored.select("id_a", "id_b", "common", (F.col("s") - F.col("common")).cast("long").alias("total")).filter(F.col("common") * den >= F.col("total") * num)
 
 
+def _candidates(a: DataFrame, b: DataFrame, num: int, den: int, same: bool, hot: int = HOT) -> DataFrame:
+    """(id_a, id_b) of sets that share an item of their prefixes and may still be similar: their sizes, and what can be met
+    before, at and after every item that they share, leave room for it. An item that more than ``hot`` prefixes of a side hold
+    is dealt in blocks of them, each block of one side with each of the other, so that no task has all its pairs."""
+
+    def posts(x: DataFrame, s: str) -> DataFrame:
+        held = x.select(F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.size("items").alias("h"), F.posexplode("prefix").alias(f"p_{s}", "t"))
+        return held.select(f"id_{s}", f"n_{s}", f"p_{s}", (F.col("h") - 1 - F.col(f"p_{s}")).alias(f"r_{s}"), "t")
+
+    left, right = posts(a, "a"), posts(b, "b")
+    blocks = lambda x, s: x.groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select("t", F.ceil(F.col("k") / hot).cast("int").alias(f"k_{s}"))
+    busy = blocks(left, "a").withColumn("k_b", F.col("k_a")) if same else blocks(left, "a").join(blocks(right, "b"), "t", "full_outer").select("t", *[F.coalesce(f"k_{s}", F.lit(1)).alias(f"k_{s}") for s in "ab"])
+    busy = written(busy, "busy")
+    any_busy = not busy.isEmpty()
+
+    def dealt(x: DataFrame, s: str, o: str) -> DataFrame:
+        if not any_busy:  # one block of each
+            return x.withColumns({f"b_{s}": F.lit(0), f"b_{o}": F.lit(0)})
+        own = x.join(busy, "t", "left").select(*x.columns, F.coalesce(f"k_{s}", F.lit(1)).alias("own"), F.coalesce(f"k_{o}", F.lit(1)).alias("others"))
+        return own.select(*x.columns, F.pmod(F.xxhash64(f"id_{s}"), F.col("own")).alias(f"b_{s}"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("others") - 1).cast("long"))).alias(f"b_{o}"))
+
+    near = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    enough = lambda met: met * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+    room = enough(F.least("p_a", "p_b") + 1 + F.least("r_a", "r_b"))
+    met = dealt(left, "a", "b").join(dealt(right, "b", "a"), ["t", "b_a", "b_b"]).filter(near & room & (F.col("id_a") < F.col("id_b") if same else F.lit(True)))
+    each = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"), F.min("r_a").alias("r_a"), F.min("r_b").alias("r_b"))
+    return each.filter(enough(F.col("c") + F.least("r_a", "r_b"))).select("id_a", "id_b")
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """(id, items) to (id, t, c)."""
     return docs.select("id", F.explode("items").alias("t")).groupBy("id", "t").agg(F.count(F.lit(1)).alias("c"))

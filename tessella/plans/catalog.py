@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import alignment, authorship, evaluation, forensics, fusion, language, learning, search, similarity, spans, statistics, store, streams, structure
+from tessella.plans import alignment, authorship, evaluation, forensics, fusion, language, learning, passes, search, similarity, spans, statistics, store, streams, structure
 
-MODULES = (similarity, fusion, evaluation, statistics, forensics, authorship, language, spans, store, streams, structure, alignment, search, learning)
+MODULES = (similarity, fusion, evaluation, statistics, forensics, authorship, language, spans, store, streams, structure, alignment, search, learning, passes)
 
 
 def queries() -> dict:

@@ -152,3 +152,27 @@ def test_comprehensions_are_counted_in_linear_time(spark):
     began = time.time()
     assert count(["[for in " * 50_000, "[" * 200_000, "[for " * 50_000 + "]", "[for in ]" * 50_000]) == [0, 0, 0, 1]
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("hot", [3, 10_000])
+@pytest.mark.parametrize("num,den", [(1, 2), (7, 10), (4, 5), (1, 1)])
+def test_similar_sets_equal_brute_force_with_and_without_hot_items(spark, monkeypatch, num, den, hot):
+    import random
+
+    from tessella.operators import setjoin
+
+    monkeypatch.setattr(setjoin, "_candidates", lambda *a, f=setjoin._candidates: f(*a, hot))
+    rng = random.Random(num + den)
+    base = [rng.sample(range(60), 14) for _ in range(6)]
+    rows = []
+    for i in range(90):
+        items = set(base[i % 6])
+        for _ in range(rng.randrange(6)):
+            items ^= {rng.randrange(60) if rng.random() < 0.7 else 1000 + rng.randrange(500)}
+        rows.append((i, sorted(items | {7}), len(items | {7})))
+    df = spark.createDataFrame(rows, "id long, items array<long>, n int")
+    want = {(a, b, len(set(x) & set(y)), len(set(x) | set(y))) for a, x, _ in rows for b, y, _ in rows if a < b and len(set(x) & set(y)) * den >= len(set(x) | set(y)) * num}
+    assert {tuple(r) for r in setjoin.jaccard_pairs(df, num, den).collect()} == want
+    other = df.filter("id >= 60")
+    got = {tuple(r) for r in setjoin.jaccard_pairs(df.filter("id < 60"), num, den, other).collect()}
+    assert got == {w for w in want if w[0] < 60 <= w[1]}
