@@ -159,9 +159,9 @@ def _numbered(tree: ast.AST) -> None:
 
 def canonical(source: str | None) -> str | None:
     """The canonical form; null for what does not parse."""
-    text = source
+    text = without_dead_code(source)
     for _ in range(ROUNDS):
-        tree = structure.parsed(without_dead_code(text))
+        tree = structure.parsed(text)
         if tree is None:
             return None
         try:
@@ -171,7 +171,10 @@ def canonical(source: str | None) -> str | None:
         except (RecursionError, ValueError):
             return None
         if after == text:
-            return text
+            live = without_dead_code(text)
+            if live == text:
+                return text
+            after = live
         text = after
     return text
 
