@@ -176,14 +176,15 @@ HISTORY_SQL = "SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS jobs
 
 
 def case_timeline(spark, sf_dir):
-    """What an append-only log holds of each case, in order: opened, items, closed with its last shipment."""
+    """What an append-only log holds of each case, in order: opened, items, closed with its last shipment. Items of one number
+    and time stand in the order of their actions; rows that are still equal are so in all columns."""
     o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
     l = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     opened = o.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderdate").alias("happened"), F.lit("opened").alias("action"), F.lit(0).alias("item"))
     items = l.select(F.col("l_orderkey").alias("case_id"), F.col("l_shipdate").alias("happened"), F.when(F.col("l_returnflag") == "R", "returned").otherwise("shipped").alias("action"), F.col("l_linenumber").alias("item"))
     closed = l.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.max("l_shipdate").alias("happened")).select("case_id", "happened", F.lit("closed").alias("action"), F.lit(99).alias("item"))
     log = opened.unionByName(items).unionByName(closed)
-    return log.select("*", F.row_number().over(Window.partitionBy("case_id").orderBy("happened", "item")).alias("n"))
+    return log.select("*", F.row_number().over(Window.partitionBy("case_id").orderBy("happened", "item", "action")).alias("n"))
 
 
 TIMELINE_SQL = """WITH o AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)),

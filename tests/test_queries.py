@@ -61,5 +61,16 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
 
+def test_timeline_of_items_at_one_time(spark, tmp_path):
+    """Items of one number and time, as a table of repeated keys has them, get the same places however the rows stand."""
+    d = "timestamp '1996-03-01 00:00:00'"
+    spark.sql(f"SELECT 1L AS o_orderkey, {d} AS o_orderdate, '1-URGENT' AS o_orderpriority").write.parquet(f"{tmp_path}/a/orders.parquet")
+    spark.read.parquet(f"{tmp_path}/a/orders.parquet").write.parquet(f"{tmp_path}/b/orders.parquet")
+    for at, flags in (("a", ("'R'", "'N'")), ("b", ("'N'", "'R'"))):
+        spark.sql(" UNION ALL ".join(f"SELECT 1L AS l_orderkey, 3 AS l_linenumber, {d} AS l_shipdate, {x} AS l_returnflag" for x in flags)).coalesce(1).write.parquet(f"{tmp_path}/{at}/lineitem.parquet")
+    a, b = (sorted(map(tuple, QUERIES["case_timeline"](spark, f"{tmp_path}/{at}").collect())) for at in "ab")
+    assert a == b and [(r[2], r[4]) for r in sorted(a, key=lambda r: r[4])] == [("opened", 1), ("returned", 2), ("shipped", 3), ("closed", 4)]
+
+
 def test_entry(spark):
     assert E.entry(spark).columns == ["id_a", "id_b", "copies_a", "copies_b", "score", "risk"]
