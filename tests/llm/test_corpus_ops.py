@@ -88,6 +88,25 @@ def test_large_regions_are_divided_exactly(spark, monkeypatch):
     assert joined(J.jaccard_join(docs(spark, rows, False), 5, 80)) == brute_join(rows, 5, 80)
 
 
+def test_regions_inside_another_are_left_out(spark, monkeypatch):
+    """Near copies share many pivots; their sets go to few regions all the same."""
+    held = {}
+
+    def kept(df, label, do=J.materialize):
+        held[label] = do(df, label)
+        return held[label]
+
+    monkeypatch.setattr(J, "materialize", kept)
+    rows = near_copies(7, groups=3, size=30, edits=5)
+    assert joined(J.jaccard_join(docs(spark, rows, False))) == brute_join(rows)
+    sets = held["classes"].count()
+    assert held["regions"].count() <= 2 * sets
+    sized = spark.createDataFrame([(1, 1, 100), (2, 1, 84), (3, 1, 40), (4, 1, 40), (5, 1, 85), (6, 2, 10), (7, 3, 84), (8, 3, 100)], "doc long, pivot long, n long")
+    assert sorted(map(tuple, J._of_like_size(sized, 85, 100).collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1)]
+    known = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (2, 2), (3, 2), (3, 3), (4, 3)], "doc long, pivot long")
+    assert sorted(map(tuple, J._own_regions(known).collect())) == [(1, 1), (2, 1), (3, 1), (3, 3), (4, 3)]
+
+
 def test_few_very_long_near_copies(spark, monkeypatch):
     """More parts than sets: a part has the pivots of its region alone."""
     monkeypatch.setattr(J, "REGION_SHINGLES", 200)
