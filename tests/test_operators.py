@@ -10,6 +10,20 @@ from tessella.functions import scores, signals, text
 from tessella.operators import graph, metrics, setjoin, sketch, spans, structure, vectors
 
 
+def test_classes_make_items_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def split(x):
+        made.add(1)
+        return [ord(c) for c in x or ""]
+
+    docs = spark.createDataFrame([(1, "ab"), (2, "ba"), (3, ""), (4, "c"), (5, None)], "id long, x string")
+    sets, members = setjoin.classes(docs.select("id", F.udf(split, "array<bigint>")("x").alias("items")))
+    assert sorted((r["id"], r["n"], r["copies"]) for r in sets.collect()) == [(1, 2, 2), (4, 1, 1)]
+    assert sorted((r["id"], r["class"]) for r in members.collect()) == [(1, 1), (2, 1), (4, 4)]
+    assert made.value == 5
+
+
 def test_jaccard_pairs_against_all_pairs(spark):
     rng = random.Random(1)
     rows = [(i, sorted({f"t{rng.randrange(30)}" for _ in range(rng.randrange(1, 14))})) for i in range(90)]
