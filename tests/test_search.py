@@ -95,3 +95,20 @@ def test_search_equals_scoring_everything(spark, monkeypatch):
     asked = queries.select("query_id", F.explode(F.array_distinct("items")).alias("t"))
     every = asked.join(index.maxima, "t").select("query_id", "block").distinct().count()
     assert search.surviving(index, asked, 1).count() < 0.7 * every
+
+
+def test_ranked_search_by_parts_equals_the_index(spark, monkeypatch):
+    """Several parts and lots, ties cut at the k-th best, queries without items or unknown terms."""
+    monkeypatch.setattr(search, "PARTS", 3)
+    monkeypatch.setattr(search, "ASKED", 10)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)] + ["the"] * 20
+    docs = [(i, [rng.choice(words) for _ in range(rng.randrange(40))]) for i in range(200)] + [(i, ["the", "w1", "w2"]) for i in range(400, 440)]
+    df = spark.createDataFrame(docs, "id long, items array<string>")
+    queries = df.filter("id % 10 = 0").unionByName(spark.createDataFrame([(999, ["unknown"])], df.schema)).select(F.col("id").alias("query_id"), "items")
+    held = dict(docs)
+    for k in (1, 7, 50):
+        want = {tuple(r) for r in search.search(search.inverted(df), queries, k).collect()}
+        got = search.ranked(df, queries, k).collect()
+        assert {(r["query_id"], r["rank"], r["id"], r["score"]) for r in got} == want != set()
+        assert all((r["common"], r["size"], r["asked"]) == (len({*held[r["query_id"]]} & {*held[r["id"]]}), len({*held[r["id"]]}), len({*held[r["query_id"]]})) for r in got)
