@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.functions import text
+from tessella.operators import setjoin
 from tessella.plans.similarity import _SETS, _TOK, candidates
 from tessella.session import table, written
 
@@ -40,12 +42,21 @@ def multi_pass_winnowing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
     tokens = written(docs.select("id", text.tokens(F.col("text")).alias("items")), "tokens")
     found = written(reduce(lambda a, b: a.unionByName(b), [prints(tokens, k) for k in PASSES]), "passes")
-    size = found.groupBy("id", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("s"))
-    met = pairs.join(found.toDF("id_a", "k", "h", "w"), "id_a").join(found.select(F.col("id").alias("id_b"), "k", "h"), ["id_b", "k", "h"]).groupBy("id_a", "id_b", "k").agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("cw"))
-    each = pairs.join(size.toDF("id_a", "k", "na", "sa"), "id_a").join(size.toDF("id_b", "k", "nb", "sb"), ["id_b", "k"]).join(met, ["id_a", "id_b", "k"], "left").fillna(0, ["c", "cw"])
-    share = 1 / F.sqrt(F.col("k").cast("double"))
-    mean = lambda c, total: F.round(F.sum(share * c / total) / F.sum(share), 6)
-    return each.groupBy("id_a", "id_b").agg(mean(F.col("c"), F.col("na") + F.col("nb") - F.col("c")).alias("plain"), mean(F.col("cw"), F.col("sa") + F.col("sb") - F.col("cw")).alias("weighted"))
+    sides = written(found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("k", "h").alias("h"), "k", "w"))).alias("s")).select("id", "s.h", "s.k", "s.w"), "sides")
+    met = setjoin.compared(pairs, _met, ", ".join(f"{x}{k} long" for k in PASSES for x in ("c", "cw", "na", "nb", "sa", "sb")), sides)
+    # a pass that a side lacks does not count
+    share = {k: F.when((F.col(f"na{k}") > 0) & (F.col(f"nb{k}") > 0), 1 / F.sqrt(F.lit(float(k)))) for k in PASSES}
+    total = sum(F.coalesce(s, F.lit(0.0)) for s in share.values())
+    mean = lambda c, a, b: F.round(sum(F.coalesce(share[k] * F.col(f"{c}{k}") / (F.col(f"{a}{k}") + F.col(f"{b}{k}") - F.col(f"{c}{k}")), F.lit(0.0)) for k in PASSES) / total, 6)
+    return met.select("id_a", "id_b", mean("c", "na", "nb").alias("plain"), mean("cw", "sa", "sb").alias("weighted"))
+
+
+def _met(x, y):
+    """For each pass: the windows that both have and their weight, and the numbers and weights of each side."""
+    hit, _ = setjoin.met(x[0], y[0])
+    of = lambda k, w=None: np.bincount(k, w, minlength=PASSES[-1] + 1)
+    c, cw, na, nb, sa, sb = of(x[1][hit]), of(x[1][hit], x[2][hit]), of(x[1]), of(y[1]), of(x[1], x[2]), of(y[1], y[2])
+    return [int(v[k]) for k in PASSES for v in (c, cw, na, nb, sa, sb)]
 
 
 def _pass_sql(k: int) -> str:

@@ -190,3 +190,34 @@ def test_similar_sets_equal_brute_force_with_and_without_hot_items(spark, monkey
     other = df.filter("id >= 60")
     got = {tuple(r) for r in setjoin.jaccard_pairs(df.filter("id < 60"), num, den, other).collect()}
     assert got == {w for w in want if w[0] < 60 <= w[1]}
+
+
+def test_pairs_are_compared_where_their_sets_travel_once(spark, monkeypatch):
+    rng = random.Random(7)
+    docs = [(i, [rng.randrange(50) for _ in range(30)]) for i in range(40)] + [(50, [])]
+    df = spark.createDataFrame(docs, "id long, items array<long>")
+    links = [(a, b) for a in range(40) for b in range(a + 1, 40)] + [(3, 50), (4, 60)]  # 60 is not in docs
+    pairs = spark.createDataFrame(links, "id_a long, id_b long")
+    made = spark.sparkContext.accumulator(0)
+
+    def ready(items):
+        if len(items):
+            made.add(1)
+        return setjoin.tallied(items)
+
+    held = {i: {t: w.count(t) for t in w} for i, w in docs}
+    want = {(a, b, sum(min(c, held.get(b, {}).get(t, 0)) for t, c in held[a].items()), len(docs[a][1]), sum(held.get(b, {}).values())) for a, b in links}
+    of = lambda df: {(r["id_a"], r["id_b"], r["m"], r["na"], r["nb"]) for r in df.collect()}
+    assert of(setjoin.compared(pairs, setjoin.pair_sums, setjoin._SUMS, df, ready=ready)) == want
+    assert made.value <= 43  # not two for each of 782 pairs
+    assert of(setjoin.pair_counts(pairs, df)) == want
+    monkeypatch.setattr(setjoin, "MEMBERS", 4)
+    assert of(setjoin.pair_counts(pairs, df)) == want
+    both = setjoin.compared(pairs, setjoin.pair_sums, setjoin._SUMS, df, df.filter("id < 45"), ready=setjoin.tallied)
+    assert of(both) == want
+
+
+def test_strings_of_one_program_at_a_time(spark):
+    programs = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id long, code string").coalesce(1)
+    many = structure.hashed(programs, lambda s: [f"{s}{k}" for k in range(200_000)] if s else []).select("id", F.size(F.array_distinct("items")).alias("n"))
+    assert sorted(map(tuple, many.collect())) == [(1, 200_000), (2, 0), (3, 200_000)]
