@@ -114,3 +114,23 @@ def test_exact_intervals_and_isotonic_order(spark):
         fit = sorted((r["score"], r["calibrated"]) for r in statistics.isotonic(spark, DIR).collect() if r["engine"] == engine)
         values = [v for _, v in fit]
         assert values == sorted(values) and bisect_left(values, 0) == 0
+
+
+def test_perplexity_model_is_joined_to_distinct_pairs(spark, tmp_path, monkeypatch):
+    """A hundred equal texts cost what one does in the model's tables."""
+    from tessella.plans import language
+
+    rows = [(i, "one two three one two") for i in range(100)] + [(100, None), (101, "two one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1), (0, 1), (101, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    made = {}
+
+    def written(df, label):
+        made[label] = language_written(df, label)
+        return made[label]
+
+    language_written = language.written
+    monkeypatch.setattr(language, "written", written)
+    got = {r["doc_id"]: r["bits"] for r in language.corpus_perplexity(spark, str(tmp_path)).collect()}
+    assert len(got) == 101 and 100 not in got and len({got[i] for i in range(100)}) == 1
+    assert made["word_pairs"].count() == 9  # distinct ones, not those of each document
