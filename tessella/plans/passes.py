@@ -38,8 +38,7 @@ def multi_pass_winnowing(spark, sf_dir):
     """Of candidate pairs: the mean of the passes' Jaccard similarities, a pass of k tokens counting 1 / sqrt(k), plain and
     with every window counting what its tokens weigh."""
     pairs = candidates(spark, sf_dir).select("id_a", "id_b")
-    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    docs = setjoin.of_pairs(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), pairs)
     tokens = written(docs.select("id", text.tokens(F.col("text")).alias("items")), "tokens")
     found = written(reduce(lambda a, b: a.unionByName(b), [prints(tokens, k) for k in PASSES]), "passes")
     sides = written(found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("k", "h").alias("h"), "k", "w"))).alias("s")).select("id", "s.h", "s.k", "s.w"), "sides")

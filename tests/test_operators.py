@@ -221,3 +221,26 @@ def test_strings_of_one_program_at_a_time(spark):
     programs = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id long, code string").coalesce(1)
     many = structure.hashed(programs, lambda s: [f"{s}{k}" for k in range(200_000)] if s else []).select("id", F.size(F.array_distinct("items")).alias("n"))
     assert sorted(map(tuple, many.collect())) == [(1, 200_000), (2, 0), (3, 200_000)]
+
+
+def test_near_copies_meet_once_and_not_for_each_item(spark):
+    rng = random.Random(9)
+    rows = [(i, sorted(set(range(60)) - {rng.randrange(60)} | {100 + i % 7})) for i in range(40)]
+    sets = spark.createDataFrame(rows, "id long, items array<long>").withColumn("n", F.size("items"))
+    items = setjoin._exploded(sets)
+    held = setjoin._prefixed(items, items.groupBy("t").agg(F.count("id").alias("df")), 1, 2).cache()
+    found = setjoin._candidates(held, held, 1, 2, True)
+    assert sorted(map(tuple, found.collect())) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    node = found._jdf.queryExecution().executedPlan()
+    while "Join" not in node.nodeName():
+        node = node.executedPlan() if "Adaptive" in node.nodeName() else node.plan() if "QueryStage" in node.nodeName() else node.children().head()
+    assert node.metrics().apply("numOutputRows").value() == 40 * 39 // 2
+
+
+def test_items_of_the_sets_are_shuffled_once(spark):
+    sets = spark.createDataFrame([(i, [i, i + 1, 50]) for i in range(9)], "id long, items array<long>").withColumn("n", F.size("items"))
+    rows = setjoin._exploded(sets)
+    frequency = rows.groupBy("t").agg(F.count("id").alias("df"), F.max("n").alias("most")).filter("df > 1 AND most > 0").select("t", "df")
+    met = rows.hint("merge").join(frequency, "t")
+    met.collect()
+    assert "ReusedExchange" in met._jdf.queryExecution().toString()
