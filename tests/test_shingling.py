@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import setjoin, shingling
+from tessella.operators import setjoin, shingling, structure
 
 
 def texts():
@@ -74,3 +74,40 @@ def test_overlaps_of_many_pairs_equal_those_of_each(spark, monkeypatch):
         monkeypatch.setattr(setjoin, "MEMBERS", members)
         monkeypatch.setattr(setjoin, "HELD", held)
         assert sorted(map(tuple, setjoin.overlapped(pairs, ready, score, out, docs).collect())) == want
+
+
+def test_tiles_are_the_longest_runs_again_and_again(monkeypatch):
+    def plain(a, b, least):
+        used_a, used_b, out = set(), set(), []
+        while True:
+            best = (least - 1, 0, 0)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                        n += 1
+                    if n > best[0]:
+                        best = (n, i, j)
+            n, i, j = best
+            if n < least:
+                return sorted(out)
+            used_a |= set(range(i, i + n))
+            used_b |= set(range(j, j + n))
+            out.append((i, j, n))
+
+    rng = random.Random(2)
+    for k in range(400):
+        a, b = ([rng.choice("abcdef"[: 1 + k % 6]) for _ in range(rng.randrange(24))] for _ in range(2))
+        b = a[:8] + b[:4] + a[10:] if k % 3 == 0 else b
+        monkeypatch.setattr(structure, "MATCHES", 0 if k % 5 == 0 else 1 << 20)
+        assert structure.tiles(a, b, 2 + k % 2) == plain(a, b, 2 + k % 2)
+
+
+def test_runs_under_longer_ones_are_not_looked_at(monkeypatch):
+    rng = random.Random(4)
+    a = [rng.choice("abcdefgh") for _ in range(400)]
+    b = [*a[:200], "x", *a[201:]]
+    looked = []
+    monkeypatch.setattr(structure, "_tile", lambda runs, *more, f=structure._tile: (looked.append(len(runs)), f(runs, *more)))
+    assert structure.tiles(a, b) == [(0, 0, 200), (201, 201, 199)]
+    assert sum(looked) < 20
