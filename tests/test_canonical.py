@@ -47,3 +47,58 @@ def test_scores(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (4, 4), (5, 6)], "id_a long, id_b long")
     got = {(r["id_a"], r["id_b"]): (r["equal"], r["score"]) for r in C.canonical_scores(pairs, programs).collect()}
     assert got[1, 2] == (True, 1.0) and not got[1, 3][0] and 0 < got[1, 3][1] < 1 and got[1, 4] == (False, 0.0) and not got[4, 4][0]
+
+
+def made(rng, depth=0):
+    """A few simple statements, dead ones among them."""
+    name = lambda: rng.choice("abcxyz")
+
+    def value(d=0):
+        k = rng.randrange(9 if d < 3 else 3)
+        if k < 2:
+            return name()
+        if k == 2:
+            return str(rng.choice([0, 1, 2, 7, -3, True]))
+        if k == 3:
+            return f"f({value(d + 1)})"
+        if k == 4:
+            return f"(not {value(d + 1)})"
+        if k == 5:
+            return f"({value(d + 1)} {rng.choice(['and', 'or'])} {value(d + 1)})"
+        if k == 6:
+            return f"({value(d + 1)} {rng.choice(['<', '<=', '>', '>=', '==', '!=', 'is', 'in'])} {value(d + 1)})"
+        return f"({value(d + 1)} {rng.choice(['+', '-', '*', '//', '**', '|'])} {value(d + 1)})"
+
+    pad, out = "    " * (depth + 1), ""
+    for _ in range(rng.randrange(1, 5)):
+        k = rng.randrange(11 if depth < 2 else 5)
+        if k < 2:
+            out += f"{pad}{name()} = {value()}\n"
+        elif k == 2:
+            out += f"{pad}{name()} += {value()}\n"
+        elif k == 3:
+            out += f"{pad}f({value()})\n"
+        elif k == 4:
+            out += pad + rng.choice(["return " + value(), "pass", f"{name()} = {name()} = 3", "return"]) + "\n"
+        elif k < 8:
+            out += f"{pad}if {rng.choice([value(), '0', '1'])}:\n{made(rng, depth + 1)}" + (f"{pad}else:\n{made(rng, depth + 1)}" if rng.random() < 0.5 else "")
+        elif k == 8:
+            out += f"{pad}while {rng.choice([value(), '0'])}:\n{made(rng, depth + 1)}"
+        else:
+            out += f"{pad}for {name()} in {rng.choice(['range(9)', 'range(2, a)', name()])}:\n{made(rng, depth + 1)}"
+    return out
+
+
+def test_forms_from_known_statements_equal_those_of_whole_programs(monkeypatch):
+    import random
+
+    rng, forms = random.Random(11), C.Forms()
+    sources = ["".join(f"def f{k}({', '.join(rng.sample('abc', rng.randrange(3)))}):\n{made(rng)}" for k in range(rng.randrange(1, 4))) for _ in range(400)]
+    want = [C.canonical(s) for s in sources]
+    seen = []
+    monkeypatch.setattr(C, "canonical", lambda s, f=C.canonical: seen.append(s) or f(s))
+    assert [forms.form(s) for s in sources] == want and not seen
+    odd = [None, "", "x = 1\n", "def f(:", *SOURCES, "def f(a, b=1):\n    return a\n", "def f(a):\n    'doc'\n    return a\n", "def f(a):\n    x = lambda: a\n    return x\n", "def f(a):\n    1 + 2\n    return a\n", "def f():\n    return\n\nf()\n"]
+    assert [forms.form(s) for s in odd] == [C.canonical(s) for s in odd]
+    n = len(forms.known)
+    assert [forms.form(s) for s in sources] == want and len(forms.known) == n
