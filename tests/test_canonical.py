@@ -102,3 +102,18 @@ def test_forms_from_known_statements_equal_those_of_whole_programs(monkeypatch):
     assert [forms.form(s) for s in odd] == [C.canonical(s) for s in odd]
     n = len(forms.known)
     assert [forms.form(s) for s in sources] == want and len(forms.known) == n
+
+
+def test_subtrees_of_known_statements_equal_those_of_whole_programs(monkeypatch):
+    import random
+
+    rng, known = random.Random(12), {}
+    sources = ["".join(f"def f{k}({', '.join(rng.sample('abc', rng.randrange(3)))}):\n{made(rng)}" for k in range(rng.randrange(1, 4))) for _ in range(200)]
+    sources += [*SOURCES, None, "def f(:", "class A:\n    @a\n    def f(self):\n        import b as c\n        return c.d\n", "if a:\n    @x\n    def g():\n        y = 1\n", "if a:\n    @z.w\n    def g():\n        y = 1\n"]
+    want = [structure.subtree_hashes(s) for s in sources]
+    assert [structure.subtree_hashes(s, known) for s in sources] == want
+    n = len(known)
+    assert [structure.subtree_hashes(s, known) for s in sources] == want and len(known) == n > 0
+    monkeypatch.setattr(structure, "KNOWN", 5)
+    known.clear()
+    assert [structure.subtree_hashes(s, known) for s in sources] == want and len(known) <= 6
